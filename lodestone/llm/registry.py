@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sentencepiece_codec
+from . import mixing, quality_rules, sentencepiece_codec
 
 MODULES = {
+    "op1_quality_rules": quality_rules,
     "op2_sentencepiece": sentencepiece_codec,
+    "op10_mixing": mixing,
 }
 
 
