@@ -4,7 +4,7 @@ Pass 1 turns each text into a few integer measures. A sketch of a measure is a t
 with all but its five leading bits cleared (relative error 1/16). Sketches merge by adding counts, so partial
 aggregation, a language's sketch from its sources' and the corpus's from all languages' are the same operation, and
 the result depends on neither partitioning nor order. From the sketch of texts that pass the base rules come the
-quantiles 0.1, 0.5 and 0.9, and from these a band: quantile 0.9 plus SPREADS times its distance to the median (at
+three quartiles, and from these a band: the upper quartile plus SPREADS times its distance to the median (at
 least a floor per measure), and likewise below. A (language, source) with fewer than MIN_TEXTS such texts uses its
 language's band, a language with fewer the corpus's. Pass 2 joins each text with its group's band and filters.
 
@@ -27,15 +27,15 @@ from .tables import read, small, written
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 COUNTS = [*BASE, "n_upper"]
-SPREADS = 4
+SPREADS = 8
 MIN_TEXTS = 200
 #: measure -> (numerator, factor, denominator, least spread, whether values below the band fail too)
 MEASURES = {
-    "symbol_rate": ("n_symbols", 1000, "word_chars", 15, False),
-    "upper_rate": ("n_upper", 1000, "word_chars", 60, False),
-    "word_length": ("word_chars", 100, "n_words", 100, True),
-    "dup_line_rate": ("n_dup_lines", 1000, "n_words", 10, False),
-    "repeat_rate": ("n_repeat_words", 1000, "n_words", 40, False),
+    "symbol_rate": ("n_symbols", 1000, "word_chars", 8, False),
+    "upper_rate": ("n_upper", 1000, "word_chars", 40, False),
+    "word_length": ("word_chars", 100, "n_words", 50, True),
+    "dup_line_rate": ("n_dup_lines", 1000, "n_words", 5, False),
+    "repeat_rate": ("n_repeat_words", 1000, "n_words", 20, False),
 }
 #: Groups up to this number are joined by broadcast, more by a shuffle.
 BROADCAST_GROUPS = 50_000
@@ -144,12 +144,12 @@ def _band(sketch: DataFrame, by: list[str], level: int) -> DataFrame:
     cum = sketch.withColumn("cum", F.sum("n").over(w.orderBy("edge"))).withColumn("total", F.sum("n").over(w))
     q = cum.groupBy(*by, "measure").agg(
         F.max("total").alias("total"),
-        *(F.min(F.when(F.col("cum") * 10 >= F.col("total") * d, F.col("edge"))).alias(f"q{d}") for d in (1, 5, 9)),
+        *(F.min(F.when(F.col("cum") * 4 >= F.col("total") * d, F.col("edge"))).alias(f"q{d}") for d in (1, 2, 3)),
     )
     spread = F.create_map(*(F.lit(x) for m, v in MEASURES.items() for x in (m, v[3])))[F.col("measure")]
     two_sided = F.col("measure").isin([m for m, v in MEASURES.items() if v[4]])
-    q = q.withColumn("hi", F.col("q9") + SPREADS * F.greatest(F.col("q9") - F.col("q5"), spread))
-    q = q.withColumn("lo", F.when(two_sided, F.col("q1") - SPREADS * F.greatest(F.col("q5") - F.col("q1"), spread)).otherwise(F.lit(-1)))
+    q = q.withColumn("hi", F.col("q3") + SPREADS * F.greatest(F.col("q3") - F.col("q2"), spread))
+    q = q.withColumn("lo", F.when(two_sided, F.col("q1") - SPREADS * F.greatest(F.col("q2") - F.col("q1"), spread)).otherwise(F.lit(-1)))
     return q.groupBy(*by).agg(
         F.max("total").alias(f"total{level}"),
         *(F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}{level}") for m in MEASURES for side in ("lo", "hi")),
@@ -196,7 +196,7 @@ def _sql() -> str:
     def band(source: str, by: str) -> str:
         keys = f"{by}, " if by else ""
         return f"""select {keys}measure, max(total) total,
-    min(edge) filter (cum * 10 >= total * 1) q1, min(edge) filter (cum * 10 >= total * 5) q5, min(edge) filter (cum * 10 >= total * 9) q9
+    min(edge) filter (cum * 4 >= total * 1) q1, min(edge) filter (cum * 4 >= total * 2) q2, min(edge) filter (cum * 4 >= total * 3) q3
   from (select {keys}measure, edge, sum(n) over (partition by {keys}measure order by edge) cum, sum(n) over (partition by {keys}measure) total from {source})
   group by {keys}measure"""
 
@@ -226,13 +226,13 @@ b1 as ({band("s1", "lang")}),
 b2 as ({band("s2", "")}),
 picked as (select g.lang, g.source, b2.measure,
     case when b0.total >= {MIN_TEXTS} then b0.q1 when b1.total >= {MIN_TEXTS} then b1.q1 else b2.q1 end q1,
-    case when b0.total >= {MIN_TEXTS} then b0.q5 when b1.total >= {MIN_TEXTS} then b1.q5 else b2.q5 end q5,
-    case when b0.total >= {MIN_TEXTS} then b0.q9 when b1.total >= {MIN_TEXTS} then b1.q9 else b2.q9 end q9
+    case when b0.total >= {MIN_TEXTS} then b0.q2 when b1.total >= {MIN_TEXTS} then b1.q2 else b2.q2 end q2,
+    case when b0.total >= {MIN_TEXTS} then b0.q3 when b1.total >= {MIN_TEXTS} then b1.q3 else b2.q3 end q3
   from (select distinct lang, source from u) g cross join b2
   left join b0 on b0.lang = g.lang and b0.source = g.source and b0.measure = b2.measure
   left join b1 on b1.lang = g.lang and b1.measure = b2.measure),
-band as (select *, q9 + {SPREADS} * greatest(q9 - q5, case measure {spread} end) as hi,
-    case when measure in ({two}) then q1 - {SPREADS} * greatest(q5 - q1, case measure {spread} end) else -1 end as lo from picked),
+band as (select *, q3 + {SPREADS} * greatest(q3 - q2, case measure {spread} end) as hi,
+    case when measure in ({two}) then q1 - {SPREADS} * greatest(q2 - q1, case measure {spread} end) else -1 end as lo from picked),
 bad as (select distinct rid from u join band using (lang, source, measure) where v < lo or v > hi)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   (not base_failed and bad.rid is null) as kept, n_upper, lang, source
