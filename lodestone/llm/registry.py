@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sentencepiece_codec
+from . import language_id, lm_scoring, mixing, quality_rules, sentencepiece_codec
 
 MODULES = {
     "op1_quality_rules": quality_rules,
     "op2_sentencepiece": sentencepiece_codec,
+    "op3_lm_scoring": lm_scoring,
+    "op9_language_id": language_id,
     "op10_mixing": mixing,
 }
 
