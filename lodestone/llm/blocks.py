@@ -23,7 +23,7 @@ def pack(*arrays: np.ndarray) -> bytes:
 _KINDS = {ord(k) % 100: k for k in "iufbS"}
 
 
-def unpack(block: bytes) -> list[np.ndarray]:
+def unpack(block: bytes | pa.Buffer) -> list[np.ndarray]:
     n = int(np.frombuffer(block, np.int64, 1)[0])
     head = np.frombuffer(block, np.int64, 2 * n, 8)
     at, out = 8 + 16 * n, []

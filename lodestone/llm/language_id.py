@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -70,47 +71,36 @@ def grams(word: str) -> list[str]:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, kind, key, n): sums of n-grams ('g') and script letters ('s') of this partition, emitted when large."""
-    words: dict[str, dict[str, int]] = {}
-    total: dict[tuple[str, str, str], int] = {}
+    words: dict[str, Counter[str]] = {}
+    total: dict[tuple[str, str], dict[str, int]] = {}
 
     def fold() -> None:
         for lang, seen in words.items():
+            own, letters = total.setdefault((lang, "g"), {}), total.setdefault((lang, "s"), {})
             for word, n in seen.items():
                 for g in grams(word):
-                    k = (lang, "g", g)
-                    total[k] = total.get(k, 0) + n
-                k = (lang, "s", script(word[0]))
-                total[k] = total.get(k, 0) + n * len(word)
+                    own[g] = own.get(g, 0) + n
+                k = script(word[0])
+                letters[k] = letters.get(k, 0) + n * len(word)
         words.clear()
 
-    def out() -> pa.RecordBatch:
-        keys = list(total)
-        batch = pa.RecordBatch.from_arrays(
-            [*(pa.array([k[i] for k in keys], pa.string()) for i in range(3)), pa.array(list(total.values()), pa.int64())], names=["lang", "kind", "key", "n"]
-        )
+    def out() -> Iterator[pa.RecordBatch]:
+        for (lang, kind), own in total.items():
+            same = [pa.array([x] * len(own), pa.string()) for x in (lang, kind)]
+            yield pa.RecordBatch.from_arrays([*same, pa.array(list(own), pa.string()), pa.array(list(own.values()), pa.int64())], names=["lang", "kind", "key", "n"])
         total.clear()
-        return batch
 
-    pending = 0
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1)):
             text, lang = text.as_py(), lang.as_py()
-            if text is None or lang is None:
-                continue
-            seen = words.setdefault(lang, {})
-            for w in _WORD.findall(text.lower()):
-                if w in seen:
-                    seen[w] += 1
-                else:
-                    seen[w] = 1
-                    pending += 1
-            if pending > REMEMBERED:
-                fold()
-                pending = 0
-                if len(total) > 5 * REMEMBERED:
-                    yield out()
+            if text is not None and lang is not None:
+                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                if sum(map(len, words.values())) > REMEMBERED:
+                    fold()
+                    if sum(map(len, total.values())) > REMEMBERED:
+                        yield from out()
     fold()
-    yield out()
+    yield from out()
 
 
 class Model:
@@ -128,27 +118,64 @@ class Model:
         total = sum(letters.values()) if letters else np.zeros(n)
         self.allowed = {s: x >= SCRIPT_SHARE * np.maximum(total, 1) for s, x in letters.items()}
         self.allowed = {s: x for s, x in self.allowed.items() if x.any()}
-        # each order has a distribution of its own, with half a count for n-grams not seen: row 'order' of the table
-        self.row = {g: i for i, g in enumerate(counts, max(ORDERS) + 1)}
-        self.table = np.zeros((max(ORDERS) + 1 + len(counts), n))
+        self.allowed_of = np.array([self.allowed.get(name, np.zeros(n, bool)) for name, *_ in [*SCRIPTS, ("other",)]]).reshape(-1, n)
+        # each order has a distribution of its own, with half a count for n-grams not seen, in row 0 of its table
+        self.alphabet = np.array(sorted({ord(c) for g in counts for c in g}), np.int64)
+        self.keys, self.tables = {}, {}
         for order in ORDERS:
-            own = [g for g in counts if len(g) == order]
+            own = sorted(g for g in counts if len(g) == order)
             mass = sum((counts[g] for g in own), np.zeros(n)) + 0.5 * (len(own) + 1)
-            self.table[order] = np.log(0.5 / mass)
-            for g in own:
-                self.table[self.row[g]] = np.log((counts[g] + 0.5) / mass)
-
-    def score(self, words: list[str]) -> np.ndarray:
-        """Scores of words by language against the word's best one; OUT for languages that its script rules out."""
-        row, flat, sizes = self.row, [], []
-        for w in words:
-            found = grams(w)
-            flat += [row.get(g) or len(g) for g in found]
-            sizes.append(len(found))
-        sums = np.add.reduceat(self.table[flat], np.cumsum([0, *sizes[:-1]]), axis=0)
-        out = sums * ((np.array([len(w) for w in words]) + 1) / np.array(sizes))[:, None]
-        out[~np.array([self.allowed.get(script(w[0]), np.ones(len(self.langs), bool)) for w in words])] = -np.inf
-        return np.maximum(out - out.max(1, keepdims=True), OUT)
+            keys = self._key([self._letters("".join(g[i] for g in own)) for i in range(order)]) if own else np.zeros(0, np.int64)
+            by = np.argsort(keys)
+            self.keys[order] = keys[by]
+            self.tables[order] = np.log(np.concatenate([np.full((1, n), 0.5), np.array([counts[g] for g in own]).reshape(-1, n)[by] + 0.5]) / mass)
+
+    def _letters(self, text: str) -> np.ndarray:
+        """Numbers of the characters in the alphabet, from 1; 0 for others."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        if not len(self.alphabet):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.alphabet, codes), len(self.alphabet) - 1)
+        return np.where(self.alphabet[at] == codes, at + 1, 0)
+
+    def _key(self, letters: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros(len(letters[0]), np.int64)
+        for x in letters:
+            out = out * (len(self.alphabet) + 1) + x
+        return out
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of lower-cased words by language, against the word's best one and at least OUT, which is also the
+        score of languages that its script rules out; and which words have a language at all."""
+        text = f" {' '.join(words)} "
+        letters = self._letters(text)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        begin = np.cumsum(size + 1) - size - 1  # of the space before each word
+        total = np.zeros((len(letters), len(self.langs)))
+        for order in ORDERS:
+            windows = len(letters) - order + 1
+            key = self._key([letters[i : i + windows] for i in range(order)])
+            keys = self.keys[order]
+            at = np.minimum(np.searchsorted(keys, key), max(0, len(keys) - 1))
+            found = self.tables[order][np.where(keys[at] == key, at + 1, 0) if len(keys) else np.zeros(windows, np.int64)]
+            if order == 1:
+                found[begin] = found[-1] = 0  # spaces
+            else:
+                for k in range(1, order - 1):  # windows across the space between two words
+                    found[begin[1:] - k] = 0
+            total[:windows] += found
+        out = np.add.reduceat(total, begin, axis=0)
+        n_grams = sum(size if order == 1 else np.maximum(size + 3 - order, 0) for order in ORDERS)
+        out *= ((size + 1) / n_grams)[:, None]
+        first = np.array([ord(w[0]) for w in words])
+        starts = np.array([a for _, a, _ in SCRIPTS])
+        at = np.searchsorted(starts, first, "right") - 1
+        inside = (at >= 0) & (first <= np.array([b for *_, b in SCRIPTS])[at])
+        allowed = self.allowed_of[np.where(inside, at, len(SCRIPTS))]
+        known = allowed.any(1)
+        out[~allowed] = -np.inf
+        with np.errstate(invalid="ignore"):
+            return np.where(known[:, None], np.maximum(out - out.max(1, keepdims=True), OUT), 0.0), known
 
 
 def viterbi(scores: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -209,11 +236,10 @@ class Labeller:
             self.at, self.table = {}, self.table[:0]
         new = {w: None for w in words if w not in self.at}
         if new:
-            known = [w for w in new if script(w[0]) in self.model.allowed]
-            self.at |= dict.fromkeys(new, -1)
-            if known:
-                self.at |= {w: i for i, w in enumerate(known, len(self.table))}
-                self.table = np.concatenate([self.table, self.model.score([w.lower() for w in known])])
+            scores, known = self.model.score([w.lower() for w in new])
+            rows = np.where(known, np.arange(len(self.table), len(self.table) + len(new)), -1)
+            self.at |= zip(new, rows.tolist(), strict=True)
+            self.table = np.concatenate([self.table, scores])
         return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float, list[dict]]]:
