@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, quality_rules, sentencepiece_codec
+from . import cover_tree, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -14,6 +14,7 @@ MODULES = {
     "op3_lm_scoring": lm_scoring,
     "op4_cover_tree": cover_tree,
     "op5_line_dedup": line_dedup,
+    "op6_substring_dedup": substring_dedup,
     "op7_ngram_join": ngram_join,
     "op8_pii": pii,
     "op9_language_id": language_id,
