@@ -127,12 +127,19 @@ def doc_key(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Colu
     return F.struct(key.alias("d")) if ids.where("a <> b").isEmpty() else F.struct(key.alias("d"), F.xxhash64(text).alias("h"))
 
 
-def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with the removed lines cut out of their texts; a text of which no line is left is empty."""
+def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: str | None = None) -> DataFrame:
+    """docs with the removed lines cut out of their texts; a text of which no line is left is empty.
+
+    length: a column that is set to the number of characters of texts that changed.
+    """
     gone = small(written(removed(docs, text, doc_id), "removed"), BROADCAST_ROWS).select(F.col("doc").alias("__l_doc"), F.col("lines").alias("__l_lines"))
     keyed = docs.withColumn("__l_key", doc_key(docs, text, doc_id)).join(gone, F.col("__l_key") == F.col("__l_doc"), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(F.col("__l_lines"), i)), "\n")
-    return keyed.withColumn(text, F.when(F.col("__l_lines").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    changed = F.col("__l_lines").isNotNull()
+    out = keyed.withColumn(text, F.when(changed, kept).otherwise(F.col(text)))
+    if length is not None:
+        out = out.withColumn(length, F.when(changed, F.char_length(text)).otherwise(F.col(length)).cast(docs.schema[length].dataType))
+    return out.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

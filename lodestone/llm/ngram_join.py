@@ -100,13 +100,21 @@ def _shared(texts: DataFrame, k: int, percent: int) -> DataFrame:
         same[1:-1] = h[1:] == h[:-1]
         n = np.bincount(owner[order[same[1:] | same[:-1]]], minlength=len(uid))
         at = np.flatnonzero(n)
-        for i in range(0, len(at), 50_000):
-            j = at[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(uid[j]), pa.array(need[j]), pa.array(n[j].astype(np.int32))], names=["uid", "need", "n"])
+        to = (uid[at].view(np.uint64) % np.uint64(n_buckets)).astype(np.int64)
+        parts = list(bl.spread(to, n_buckets, uid[at], need[at], n[at]))
+        for i in range(0, len(parts), 256):
+            yield bl.batch([(b, bl.pack(*x)) for b, x in parts[i : i + 256]])
 
-    counts = bl.by_bucket(texts.mapInArrow(sample, bl.SCHEMA), n_buckets, count, "uid long, need int, n int")
-    # equal sets have one uid: their counts are added up and so is what they need
-    return counts.groupBy("uid").agg(F.max("need").alias("need"), F.sum("n").alias("n")).where("n >= need").select("uid")
+    def total(bucket: int, held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        # equal sets have one uid: their counts add up, and any of them needs what one does
+        uid, need, n = bl.joined(held)
+        uid, first, where = np.unique(uid, return_index=True, return_inverse=True)
+        uid = uid[np.bincount(where, n) >= need[first]]
+        for i in range(0, len(uid), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(uid[i : i + 50_000])], names=["uid"])
+
+    counts = bl.by_bucket(texts.mapInArrow(sample, bl.SCHEMA), n_buckets, count, bl.SCHEMA)
+    return bl.by_bucket(counts, n_buckets, total, "uid long")
 
 
 def _compact(h: np.ndarray, owner: np.ndarray, uid: np.ndarray, need: np.ndarray) -> bytes:
@@ -228,8 +236,9 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     found = written(_prefixes(reps, percent), "prefixes")
     groups = found.groupBy("gid").agg(F.min("key").alias("leader"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("prefix").alias("prefix"))
     rows = groups.select("gid", "leader", "n", "lead", F.posexplode("prefix").alias("at", "token"))
-    anchor = rows.groupBy("token").agg(F.min(F.struct("n", "gid", "leader")).alias("to"), F.count("*").alias("groups")).where("groups > 1")
-    near = rows.join(anchor, "token").where("gid <> to.gid and 100 * to.n >= n * %d" % percent)
+    # of a group of near copies, the one with fewest shingles of its own is the likeliest original
+    anchor = rows.groupBy("token").agg(F.min(F.struct("lead", "n", "gid", "leader")).alias("to"), F.count("*").alias("groups")).where("groups > 1")
+    near = rows.join(anchor, "token").where(f"gid <> to.gid and 100 * least(n, to.n) >= {percent} * greatest(n, to.n)")
     best = near.groupBy("gid", "leader", F.col("to.leader").alias("y")).agg(F.count("*").alias("shared"))
     best = best.groupBy("gid", "leader").agg(F.max_by("y", F.struct("shared", "y")).alias("y")).select(F.col("leader").alias("x"), "y")
     own = found.join(groups.select("gid", "leader"), "gid").where("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
@@ -242,8 +251,9 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     rest = member.join(mixed, "token", "left_semi")
     a = rest.select("token", *(F.col(c).alias(f"{c}1") for c in ("key", "n", "comp", "lead", "at")))
     b = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "comp", "lead", "at")))
-    # overlap <= what comes before in the shorter prefix, this shingle, and what follows in the shorter rest
-    bound = F.expr("least(lead1 + at1, lead2 + at2) + least(n1 - lead1 - at1, n2 - lead2 - at2)")
+    # overlap <= the shared shingles before this one in the shorter prefix, and this one with what follows in the shorter
+    # rest; a set's leading shingles are in no other set
+    bound = F.expr("least(at1, at2) + least(n1 - lead1 - at1, n2 - lead2 - at2)")
     cross = a.join(b, "token").where(F.expr(f"comp1 < comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)") & ((100 + percent) * bound >= percent * F.expr("n1 + n2")))
     cross = written(cross.select(F.col("key1").alias("x"), F.col("key2").alias("y")).distinct(), "cross")
     second = written(_verified(cross, reps, percent), "links")
