@@ -135,9 +135,9 @@ def loose_rows(files: DataFrame) -> DataFrame:
     r = F.col("r")
     lists = {c: r[c] for c in ("sample_indices", "y_true", "y_pred", "y_proba", "weights")}
     violation = first_violation(
-        not_an_object=F.col("keys").isNull(),
-        field_missing=F.size(F.array_except(F.array(*map(F.lit, LOOSE_REQUIRED)), "keys")) > 0,
         not_finite=v.nonfinite_field(**lists, scores=F.array(r["val_score"], r["test_score"], r["train_score"])).isNotNull(),
+        not_an_object=F.col("keys").isNull(),  # keys are null for bare NaN too, so that rule comes first
+        field_missing=F.size(F.array_except(F.array(*map(F.lit, LOOSE_REQUIRED)), "keys")) > 0,
         not_readable=F.col("j").isNull(),
         text_empty_or_of_other_type=F.exists(F.array(*(F.coalesce((kind(c) != "STRING") | (r[c] == ""), F.lit(True)) for c in texts)), lambda x: x),
         array_empty_or_of_other_type=F.exists(F.array(*(F.coalesce(F.size(r[c]) == 0, F.lit(True)) | F.exists(r[c], lambda x: x.isNull()) for c in arrays)), lambda x: x),
