@@ -14,7 +14,8 @@ percent * union. Steps:
    and position filters, then expanded to members and verified on the whole sets.
 5. Only components are asked for, so pairs that are connected already are not verified: first every member is held
    against its group's leader, and a leader against the group it shares most prefix shingles with; then, for
-   shingles whose groups still fall into several components, all pairs across components. A large group of near
+   shingles whose groups still fall into several components, all pairs across components whose 256-bit parity signatures do
+   not rule them out. A large group of near
    copies costs work in proportion to its size and no link between components is missed.
 
 Results for special rows: null, empty and blank texts have an empty set, link with nothing and are their own component;
@@ -38,6 +39,8 @@ from .graph import components
 from .tables import partitions, read, small, written
 
 SAMPLE = 3
+#: Rounds in which sets of one shingle are held against one of them before all pairs across components are looked at.
+ROUNDS = 3
 #: Up to so many survivors are broadcast for the join with documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -231,6 +234,21 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "x").join(b, "y").select("x", "y", "a", "b").mapInArrow(check, "x binary, y binary")
 
 
+def _signatures(reps: DataFrame) -> DataFrame:
+    """(key, s0 .. s3): 256 parities of each set's shingles by hash; two sets differ in as many shingles as bits, or more."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for got in batches:
+            bits = np.zeros((got.num_rows, 256), np.uint8)
+            for i, s in enumerate(got.column("set")):
+                h = np.frombuffer(s.as_buffer(), np.uint64)
+                bits[i] = np.bincount((h >> np.uint64(20)).astype(np.int64) & 255, minlength=256) & 1
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([got.column("key"), *(pa.array(words[:, i]) for i in range(4))], names=["key", "s0", "s1", "s2", "s3"])
+
+    return reps.select("key", "set").mapInArrow(sign, "key binary, s0 long, s1 long, s2 long, s3 long")
+
+
 def links(reps: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the representatives (key, n, set) that link with others, by least key."""
     found = written(_prefixes(reps, percent), "prefixes")
@@ -244,22 +262,38 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     own = found.join(groups.select("gid", "leader"), "gid").where("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
     first = written(_verified(best.union(own), reps, percent), "links")
 
-    comp = components(first, "x", "y")
-    member = found.join(comp, F.col("key") == F.col("node"), "left").select("key", "n", "lead", "prefix", F.coalesce("component", "key").alias("comp"))
-    member = written(member.select("key", "n", "comp", "lead", F.posexplode("prefix").alias("at", "token")), "tokens")
-    mixed = member.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-    rest = member.join(mixed, "token", "left_semi")
-    a = rest.select("token", *(F.col(c).alias(f"{c}1") for c in ("key", "n", "comp", "lead", "at")))
-    b = rest.select("token", *(F.col(c).alias(f"{c}2") for c in ("key", "n", "comp", "lead", "at")))
+    tokens = found.select("key", "n", "lead", F.posexplode("prefix").alias("at", "token")).join(_signatures(reps), "key")
+    tokens = written(tokens, "tokens")
+    own = ("key", "n", "comp", "lead", "at", "s0", "s1", "s2", "s3")
     # overlap <= the shared shingles before this one in the shorter prefix, and this one with what follows in the shorter
     # rest; a set's leading shingles are in no other set
     bound = F.expr("least(at1, at2) + least(n1 - lead1 - at1, n2 - lead2 - at2)")
-    cross = a.join(b, "token").where(F.expr(f"comp1 < comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)") & ((100 + percent) * bound >= percent * F.expr("n1 + n2")))
-    cross = written(cross.select(F.col("key1").alias("x"), F.col("key2").alias("y")).distinct(), "cross")
-    second = written(_verified(cross, reps, percent), "links")
-    if second.isEmpty():
-        return comp
-    return components(first.union(second), "x", "y")
+    apart = F.expr(" + ".join(f"bit_count(s{i}1 ^ s{i}2)" for i in range(4)))
+    fits = F.expr(f"comp1 <> comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)") & ((100 + percent) * bound >= percent * F.expr("n1 + n2"))
+    fits &= apart * (100 + percent) <= (100 - percent) * F.expr("n1 + n2")
+    pair = F.struct(F.least("key1", "key2").alias("x"), F.greatest("key1", "key2").alias("y")).alias("p")
+
+    def open_tokens(comp: DataFrame) -> DataFrame:
+        """The rows of shingles whose sets are in several components."""
+        member = tokens.join(comp, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
+        mixed = member.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+        return written(member.join(mixed, "token", "left_semi"), "open")
+
+    edges = first
+    for attempt in range(ROUNDS + 1):
+        comp = components(edges, "x", "y")
+        rest = open_tokens(comp)
+        one = rest.select("token", *(F.col(c).alias(f"{c}1") for c in own))
+        if attempt < ROUNDS:  # each shingle's sets against one of them, another one for each shingle and round
+            some = rest.groupBy("token").agg(F.min_by(F.struct(*own), F.xxhash64("token", "key", F.lit(attempt))).alias("r"))
+            two = some.select("token", *(F.col(f"r.{c}").alias(f"{c}2") for c in own))
+        else:
+            two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in own))
+        cross = written(one.join(two, "token").where(fits).select(pair).select("p.*").distinct(), "cross")
+        more = written(_verified(cross, reps, percent), "links")
+        if not more.isEmpty():
+            edges = written(edges.union(more), "links")
+    return components(edges, "x", "y")
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
