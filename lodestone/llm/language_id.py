@@ -118,7 +118,7 @@ class Model:
         total = sum(letters.values()) if letters else np.zeros(n)
         self.allowed = {s: x >= SCRIPT_SHARE * np.maximum(total, 1) for s, x in letters.items()}
         self.allowed = {s: x for s, x in self.allowed.items() if x.any()}
-        self.allowed_of = np.array([self.allowed.get(name, np.zeros(n, bool)) for name, *_ in [*SCRIPTS, ("other",)]]).reshape(-1, n)
+        self.allowed_of = np.array([self.allowed.get(name, np.zeros(n, bool)) for name, *_ in [*SCRIPTS, ("other",)]]).reshape(len(SCRIPTS) + 1, n)
         # each order has a distribution of its own, with half a count for n-grams not seen, in row 0 of its table
         self.alphabet = np.array(sorted({ord(c) for g in counts for c in g}), np.int64)
         self.keys, self.tables = {}, {}
@@ -128,7 +128,7 @@ class Model:
             keys = self._key([self._letters("".join(g[i] for g in own)) for i in range(order)]) if own else np.zeros(0, np.int64)
             by = np.argsort(keys)
             self.keys[order] = keys[by]
-            self.tables[order] = np.log(np.concatenate([np.full((1, n), 0.5), np.array([counts[g] for g in own]).reshape(-1, n)[by] + 0.5]) / mass)
+            self.tables[order] = np.log(np.concatenate([np.full((1, n), 0.5), np.array([counts[g] for g in own]).reshape(len(own), n)[by] + 0.5]) / mass)
 
     def _letters(self, text: str) -> np.ndarray:
         """Numbers of the characters in the alphabet, from 1; 0 for others."""
