@@ -64,6 +64,8 @@ class Vocabulary:
                     below = {}
                 branch[c] = (i if n == len(piece) else at, below)
                 branch = below
+        #: pairs of characters that stand side by side in a piece
+        self.inner = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.cuts = "\n" not in "".join(self.ids) and all(MARK not in p.lstrip(MARK) for p in self.ids)
 
     def decode(self, ids: list[int]) -> str:
@@ -168,8 +170,16 @@ class Encoder:
                     out.append(piece)
         return tuple(out)
 
-    def _part(self, table: dict[str, tuple[int, ...]], key: str, text: str) -> tuple[int, ...]:
-        ids = self._ids(text)
+    def _part(self, table: dict[str, tuple[int, ...]], key: str, lead: str) -> tuple[int, ...]:
+        """The ids of lead + key, remembered by key. Marks at a word's end that no piece joins to it go by themselves."""
+        cut = len(key)
+        while cut > 1 and not key[cut - 1].isalnum():
+            cut -= 1
+        if cut < len(key) and key[cut - 1 : cut + 1] not in self.v.inner:
+            word, tail = key[:cut], key[cut:]
+            ids = (table.get(word) or self._part(table, word, lead)) + (self.plain.get(tail) or self._part(self.plain, tail, ""))
+        else:
+            ids = self._ids(lead + key)
         if len(key) <= 64:
             if len(table) >= self.remembered:
                 table.clear()
@@ -192,13 +202,13 @@ class Encoder:
                 if head:  # the start of a later line has no mark in front
                     head = False
                     if word:
-                        extend(plain.get(word) or self._part(plain, word, word))
+                        extend(plain.get(word) or self._part(plain, word, ""))
                     continue
                 spaces += 1
                 if not word:
                     continue
                 if spaces == 1:
-                    extend(marked.get(word) or self._part(marked, word, MARK + word))
+                    extend(marked.get(word) or self._part(marked, word, MARK))
                 else:
                     extend(self._ids(MARK * spaces + word))
                 spaces = 0
