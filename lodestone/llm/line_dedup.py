@@ -8,7 +8,7 @@ with 100 * intersection >= PERCENT * union, whether that one is itself removed o
    class of its range's count, then its hash, so keys in ascending order go from rare to common.
 2. Equal sets. Of lines with one set only the first goes on; all others are removed.
 3. Near sets. Rows (token, line) are made for each set's prefix. A pair is found on a common prefix token, if the sizes,
-   the positions of the token and the sets' 64-bit parity signatures (whose difference is at most the sets') allow it.
+   the positions of the token and the sets' parity signatures (which differ in no more bits than the sets in tokens) allow it.
    First, lines are held against the earliest line with the same of their rarest tokens; what is removed by that
    needs no further partner, so that a group of m near copies costs O(m). Then the rest is joined with all.
 4. Candidates are verified on the words of the lines themselves.
@@ -20,17 +20,22 @@ with other texts, their lines are ordered by a hash of the text after doc_id.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import read, small, written
+from .tables import forget, read, small, written
 
 MIN_TOKENS = 5
 PERCENT = 80
 RARITY_BITS = 16
 #: Rarest tokens by which a line is first held against an earlier one.
 FIRST = 4
-BROADCAST_ROWS = 300_000
+#: Lines of more tokens than these have signatures of 128 and 256 bits.
+LONG, LONGER = 40, 120
+SIGNATURE = ["s0", "s1", "s2", "s3"]
+BROADCAST_ROWS = 500_000
 _SPLIT = "[ \\t\\x0B\\f\\r]+"
 _SPACE = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -39,47 +44,67 @@ def _words(line: Column) -> Column:
     return F.array_remove(F.split(line, _SPLIT), "")
 
 
-def _rarity(docs: DataFrame) -> bytes:
-    """Classes of all hash ranges, a character for each."""
+def _rarity(docs: DataFrame) -> Column:
+    """A literal array with the class of each hash range's count."""
     word = docs.where(F.col("text").isNotNull()).select(F.explode(F.split("text", _SPACE)).alias("w"))
     counts = word.groupBy(F.pmod(F.xxhash64("w"), F.lit(1 << RARITY_BITS)).cast("int").alias("range")).count()
-    classes = bytearray(b"!" * (1 << RARITY_BITS))
+    classes = [0] * (1 << RARITY_BITS)
     for r, n in counts.collect():  # at most 2**RARITY_BITS rows
-        classes[r] = 33 + 2 * n.bit_length() + (n >> max(n.bit_length() - 2, 0) & 1)
-    return bytes(classes)
+        classes[r] = 2 * n.bit_length() + (n >> max(n.bit_length() - 2, 0) & 1)
+    return F.from_json(F.lit(json.dumps(classes, separators=(",", ":"))), "array<bigint>")  # folded to a literal
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """(doc, line, n, k1, k2, sig, prefix) of each line with MIN_TOKENS tokens; docs has doc and text."""
-    classes = F.lit(_rarity(docs))
-    mask = (1 << 56) - 1
+    """(doc, line, n, k1, k2, SIGNATURE, prefix) of each line with MIN_TOKENS tokens; docs has doc and text."""
+    classes = _rarity(docs)
+    low = F.lit((1 << 56) - 1)
 
     def key(w: Column) -> Column:
         h = F.xxhash64(w)
-        rank = F.ascii(F.call_function("substring", classes, F.pmod(h, F.lit(1 << RARITY_BITS)).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(mask)))
+        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(low))
 
     lines = docs.select("doc", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    keys = lines.select("doc", "line", F.array_sort(F.array_distinct(F.transform(_words("s"), key))).alias("keys"))
+    keys = lines.select("doc", "line", F.sort_array(F.array_distinct(F.transform(_words(F.col("s")), key))).alias("keys"))
     n = F.size("keys")
-    prefix = F.slice("keys", 1, n - F.ceil(n * PERCENT / F.lit(100)).cast("int") + 1)
-    signature = F.aggregate("keys", F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))))
-    return keys.where(n >= MIN_TOKENS).select("doc", "line", n.alias("n"), F.xxhash64("keys").alias("k1"), F.xxhash64("keys", F.lit(1)).alias("k2"), signature.alias("sig"), prefix.alias("prefix"))
+    # of a prefix token half the hash goes on: few tokens then are taken for others, and verification tells
+    prefix = F.transform(F.slice("keys", 1, n - F.ceil(n * PERCENT / F.lit(100)).cast("int") + 1), lambda k: k.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int"))
+    def parities(*more: int) -> Column:
+        """64 parities of the tokens by six bits of their hashes; more: bits that must be set for a token to count."""
+
+        def step(acc: Column, k: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(F.lit(63)).cast("int"))
+            if not more:
+                return acc.bitwiseXOR(bit)
+            mask = F.lit(sum(1 << m for m in more))
+            return F.when(k.bitwiseAND(mask) == mask, acc.bitwiseXOR(bit)).otherwise(acc)
+
+        return F.aggregate("keys", F.lit(0).cast("long"), step)
+
+    # long lines would fill 64 bits: theirs are told apart by one bit more, or two
+    none = F.lit(0).cast("long")
+    signature = [parities().alias("s0"), F.when(n > LONG, parities(6)).otherwise(none).alias("s1"), F.when(n > LONGER, parities(7)).otherwise(none).alias("s2"), F.when(n > LONGER, parities(6, 7)).otherwise(none).alias("s3")]
+    return keys.where(n >= MIN_TOKENS).select("doc", "line", n.alias("n"), F.xxhash64("keys").alias("k1"), F.xxhash64("keys", F.lit(1)).alias("k2"), *signature, prefix.alias("prefix"))
 
 
 def _fits(a: str, b: str) -> Column:
-    """Whether sizes n, positions at and signatures of two rows allow a link; a has at least b's size or less."""
+    """Whether sizes n, positions at and signatures of two rows allow a link."""
     n, m, i, j = (f"{x}.{c}" for c in ("n", "at") for x in (a, b))
     need = f"((({n} + {m}) * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT})"
-    return F.expr(
-        f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m}) and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {need} "
-        f"and bit_count({a}.sig ^ {b}.sig) <= {n} + {m} - 2 * {need}"
+    x = [f"({a}.s{i} ^ {b}.s{i})" for i in range(4)]
+    apart = (
+        f"case when {n} > {LONGER} and {m} > {LONGER} then bit_count({x[3]}) + bit_count({x[1]} ^ {x[3]}) + bit_count({x[2]} ^ {x[3]}) + bit_count({x[0]} ^ {x[1]} ^ {x[2]} ^ {x[3]}) "
+        f"when {n} > {LONG} and {m} > {LONG} then bit_count({x[1]}) + bit_count({x[0]} ^ {x[1]}) else bit_count({x[0]}) end"
     )
+    sizes = f"100 * least({n}, {m}) >= {PERCENT} * greatest({n}, {m})"
+    return F.expr(f"{sizes} and least({i}, {j}) + least({n} - {i}, {m} - {j}) >= {need} and {apart} <= {n} + {m} - 2 * {need}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """(id) of the later lines of pairs (early, late), structs of doc and line, that truly link."""
+def _verified(pairs: DataFrame, names: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id) of the later lines of pairs (x, y), numbers by names, that truly link; id is a struct of doc and line."""
     pairs = written(pairs.distinct(), "pairs")
+    for side in ("x", "y"):
+        pairs = pairs.join(names.select(F.col("no").alias(side), F.col("id").alias(f"{side}_id")), side)
+    pairs = written(pairs.select(F.least("x_id", "y_id").alias("early"), F.greatest("x_id", "y_id").alias("late")), "pairs")
     ids = written(pairs.select(F.col("early").alias("id")).union(pairs.select(F.col("late").alias("id"))).distinct(), "ids")
     need = small(ids.select(F.col("id.doc").alias("doc")).distinct(), BROADCAST_ROWS)
     lines = docs.join(need, "doc", "left_semi").select("doc", F.posexplode(F.split("text", "\n")).alias("line", "s")).select(F.struct("doc", "line").alias("id"), "s")
@@ -96,26 +121,32 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     doc is the struct doc_key() makes of a row of docs.
     """
     docs = docs.select(doc_key(docs, text, doc_id).alias("doc"), F.col(text).alias("text"))
-    sets = written(_sets(docs), "lines")
+    lines = written(_sets(docs), "lines")
     place = F.struct("doc", "line")
-    first = sets.groupBy("k1", "k2").agg(F.min(place).alias("first"))
-    marked = sets.join(first, ["k1", "k2"])
-    again = marked.where(place > F.col("first")).select(place.alias("id"))
-    distinct = marked.where(place == F.col("first")).dropDuplicates(["doc", "line"])
-    rows = written(distinct.select(place.alias("id"), "n", "sig", F.posexplode("prefix").alias("at", "token")), "tokens")
-
-    rare = rows.where(F.col("at") < FIRST)
-    earliest = rare.groupBy("token").agg(F.min(F.struct("id", "n", "sig", "at")).alias("e"), F.count("*").alias("c")).where("c > 1").select("token", "e.*")
+    first = lines.groupBy("k1", "k2").agg(F.min(F.struct("doc", "line")).alias("id"), *(F.first(c).alias(c) for c in ("n", *SIGNATURE, "prefix")))
+    sets = written(first.withColumn("no", F.monotonically_increasing_id()), "sets")
+    again = lines.select("k1", "k2", place.alias("id")).join(sets.select("k1", "k2", F.col("id").alias("f")), ["k1", "k2"]).where("id > f")
+    again = written(again.select("id"), "again")
+    forget(lines)
+    names = sets.select("no", "id")
+
+    def rows(sets: DataFrame, until: str, *more: str) -> DataFrame:
+        """A row for each token of the prefixes, up to a number of them."""
+        return sets.select("no", "n", *SIGNATURE, *more, F.posexplode(F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.expr(until)))).alias("at", "token"))
+
+    rare = rows(sets, str(FIRST), "id")
+    earliest = rare.groupBy("token").agg(F.min(F.struct("id", "no", "n", *SIGNATURE, "at")).alias("e"), F.count("*").alias("c")).where("c > 1").select("token", "e.*")
     hit = rare.alias("x").join(earliest.alias("e"), "token").where((F.col("e.id") < F.col("x.id")) & _fits("x", "e"))
-    one = written(_verified(hit.select(F.col("e.id").alias("early"), F.col("x.id").alias("late")), docs), "matched")
-
-    # the longer line's whole prefix against the part of the shorter one's that a line at least as long must share
-    left = rows.join(one.withColumn("done", F.lit(True)), "id", "left").withColumn("done", F.coalesce("done", F.lit(False)))
-    left = written(left, "open")
-    short = left.where(F.expr(f"at <= n - ((2 * n * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT})"))
-    later = F.when(F.col("x.id") > F.col("y.id"), ~F.col("x.done")).otherwise(~F.col("y.done"))
-    hit = left.alias("x").join(short.alias("y"), "token").where((F.col("x.n") >= F.col("y.n")) & (F.col("x.id") != F.col("y.id")) & later & _fits("x", "y"))
-    two = _verified(hit.select(F.least("x.id", "y.id").alias("early"), F.greatest("x.id", "y.id").alias("late")), docs)
+    one = written(_verified(hit.select(F.col("e.no").alias("x"), F.col("x.no").alias("y")), names, docs), "matched")
+
+    # the longer line's whole prefix against the part of the shorter one's that a line at least as long must share; pairs of
+    # which both lines are removed already need no look
+    done = small(one.withColumn("done", F.lit(True)), BROADCAST_ROWS)
+    state = sets.join(done, "id", "left").select("no", "n", *SIGNATURE, "prefix", F.coalesce("done", F.lit(False)).alias("done"))
+    part = f"n - ((2 * n * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}) + 1"
+    hit = rows(state, "n", "done").alias("x").join(rows(state, part, "done").alias("y"), "token")
+    hit = hit.where((F.col("x.n") >= F.col("y.n")) & (F.col("x.no") != F.col("y.no")) & ~(F.col("x.done") & F.col("y.done")) & _fits("x", "y"))
+    two = _verified(hit.select(F.least("x.no", "y.no").alias("x"), F.greatest("x.no", "y.no").alias("y")), names, docs)
     gone = again.union(one).union(two)
     return gone.groupBy("id.doc").agg(F.array_sort(F.collect_set("id.line")).alias("lines"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="lodestone-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")
 
@@ -40,3 +43,11 @@ def partitions(spark: SparkSession) -> int:
 def small(df: DataFrame, limit: int) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows (it is counted), else as it is, for a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a table that written() gave, once nothing that is still to run reads it."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
