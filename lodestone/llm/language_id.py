@@ -11,9 +11,9 @@ n-gram counts are taken from all training rows: they are pre-aggregated before t
 broadcast hold the n-grams counted at least MIN_COUNT times; their number is bounded by MAX_GRAMS, the most frequent
 first, a bound on the classifier and not on rows.
 
-Results for special rows: null text or text without letters gives lang_pred 'und', score 0 and no spans; letters of
-scripts that no language was trained on give 'und' if the text has no others; ties go to the lesser name; with no
-training rows all texts are 'und'. Null langs are not learned from.
+Results for special rows: null text or text without letters gives lang_pred 'und', score 0 and no spans; words of scripts that
+no language was trained on say nothing, and a text of only such words gets the language with most training letters,
+score 0 and no spans; ties go to the lesser name; with no training rows all texts are 'und'. Null langs are not learned from.
 """
 
 from __future__ import annotations
@@ -116,6 +116,7 @@ class Model:
             table = counts if kind == "g" else letters
             table.setdefault(key, np.zeros(n))[at[lang]] += c
         total = sum(letters.values()) if letters else np.zeros(n)
+        self.prior = int(np.argmax(total)) if n else -1
         self.allowed = {s: x >= SCRIPT_SHARE * np.maximum(total, 1) for s, x in letters.items()}
         self.allowed = {s: x for s, x in self.allowed.items() if x.any()}
         self.allowed_of = np.array([self.allowed.get(name, np.zeros(n, bool)) for name, *_ in [*SCRIPTS, ("other",)]]).reshape(len(SCRIPTS) + 1, n)
@@ -254,6 +255,8 @@ class Labeller:
             r = rows[at : at + len(ws)]
             at += len(ws)
             if (r < 0).all():
+                if ws:
+                    out[i] = (langs[self.model.prior], 0.0, [])
                 continue
             known = r >= 0
             s = self.table[r[known]]

@@ -327,9 +327,10 @@ def test_viterbi_equals_brute_force_and_its_shortcut_holds():
 def test_mixed_text_gets_spans(spark):
     en = "the river was wide and the old bridge stood there for a hundred years of quiet water"
     ru = "река была широкой и старый мост стоял там сто лет над тихой водой"
-    d = spark.createDataFrame([(1, en, "en"), (2, ru, "ru"), (3, en + " " + ru, None)], "doc_id long, text string, lang string")
+    d = spark.createDataFrame([(1, en, "en"), (2, ru, "ru"), (3, en + " " + ru, None), (4, "漢字", None), (5, "12 .", None)], "doc_id long, text string, lang string")
     got = {x.doc_id: x for x in language_id.label(d, language_id.train(d.union(d).union(d))).collect()}
     assert [s.lang for s in got[3].spans] == ["en", "ru"] and got[3].spans[1].start == len(en) + 1 and got[3].lang_pred == "en"
+    assert (got[4].lang_pred, got[4].score) == ("en", 0.0) and (got[5].lang_pred, got[5].spans) == ("und", [])
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 0, "c": float("nan")}])
