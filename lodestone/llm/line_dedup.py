@@ -9,7 +9,7 @@ with 100 * intersection >= PERCENT * union, whether that one is itself removed o
 2. Equal sets. Of lines with one set only the first goes on; all others are removed.
 3. Near sets. Rows (token, line) are made for each set's prefix. A pair is found on a common prefix token, if the sizes,
    the positions of the token and the sets' parity signatures (which differ in no more bits than the sets in tokens) allow it.
-   First, lines are held against the earliest line with the same of their rarest tokens; what is removed by that
+   First, lines are held against the earliest line that shares one of a few tokens of their prefixes; what is removed by that
    needs no further partner, so that a group of m near copies costs O(m). Then the rest is joined with all.
 4. Candidates are verified on the words of the lines themselves.
 
@@ -30,7 +30,7 @@ from .tables import forget, read, small, written
 MIN_TOKENS = 5
 PERCENT = 80
 RARITY_BITS = 16
-#: Rarest tokens by which a line is first held against an earlier one.
+#: Tokens of a prefix, those of least hash, by which a line is first held against an earlier one.
 FIRST = 4
 #: Lines of more tokens than these have signatures of 128 and 256 bits.
 LONG, LONGER = 40, 120
@@ -131,10 +131,15 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     names = sets.select("no", "id")
 
     def rows(sets: DataFrame, until: str, *more: str) -> DataFrame:
-        """A row for each token of the prefixes, up to a number of them."""
-        return sets.select("no", "n", *SIGNATURE, *more, F.posexplode(F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.expr(until)))).alias("at", "token"))
-
-    rare = rows(sets, str(FIRST), "id")
+        """A row for each token of the prefixes, up to a number of them, with the token before it."""
+        tokens = F.posexplode(F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.expr(until))))
+        out = sets.select("no", "n", *SIGNATURE, *more, "prefix", tokens.alias("at", "token"))
+        return out.withColumn("prev", F.get("prefix", F.col("at") - 1)).drop("prefix")
+
+    # tokens of least hash: near copies have most of these in common, whatever rare words each has of its own
+    some = F.explode(F.slice(F.sort_array("prefix"), 1, FIRST))
+    rare = sets.select("no", "n", *SIGNATURE, "id", "prefix", some.alias("token"))
+    rare = rare.withColumn("at", F.array_position("prefix", F.col("token")).cast("int") - 1).drop("prefix")
     earliest = rare.groupBy("token").agg(F.min(F.struct("id", "no", "n", *SIGNATURE, "at")).alias("e"), F.count("*").alias("c")).where("c > 1").select("token", "e.*")
     hit = rare.alias("x").join(earliest.alias("e"), "token").where((F.col("e.id") < F.col("x.id")) & _fits("x", "e"))
     one = written(_verified(hit.select(F.col("e.no").alias("x"), F.col("x.no").alias("y")), names, docs), "matched")
@@ -145,6 +150,8 @@ def removed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
     state = sets.join(done, "id", "left").select("no", "n", *SIGNATURE, "prefix", F.coalesce("done", F.lit(False)).alias("done"))
     part = f"n - ((2 * n * {PERCENT} + {99 + PERCENT}) div {100 + PERCENT}) + 1"
     hit = rows(state, "n", "done").alias("x").join(rows(state, part, "done").alias("y"), "token")
+    # of a run of common tokens the first alone makes the pair: sizes and positions allow all of a run or none
+    hit = hit.where(F.coalesce(F.col("x.prev") != F.col("y.prev"), F.lit(True)))
     hit = hit.where((F.col("x.n") >= F.col("y.n")) & (F.col("x.no") != F.col("y.no")) & ~(F.col("x.done") & F.col("y.done")) & _fits("x", "y"))
     two = _verified(hit.select(F.least("x.no", "y.no").alias("x"), F.greatest("x.no", "y.no").alias("y")), names, docs)
     gone = again.union(one).union(two)
