@@ -217,9 +217,10 @@ class Encoder:
         return out
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", n_ids: str = "n_ids", round_trip: str = "round_trip") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids", n_ids: str = "n_ids", round_trip: str = "round_trip", remembered: int = 400_000) -> DataFrame:
     """docs with the ids of each whole text, their number and whether they decode to the text again.
 
+    remembered: words and pairs that a worker keeps, for speed against memory.
     Input columns with the names of the three new ones are replaced. No shuffle; rows keep their partitions.
     """
     spark = docs.sparkSession
@@ -230,7 +231,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary.value
-        encoder = Encoder(v)
+        encoder = Encoder(v, remembered)
         for whole in batches:
             for begin in range(0, whole.num_rows, 200):
                 batch = whole.slice(begin, 200)
