@@ -35,7 +35,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their SentencePiece ids."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path())
+    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path(), remembered=200_000)
 
 
 STAGES = [
