@@ -237,6 +237,39 @@ def test_substring_dedup_finds_repeats_and_fuzzy_passages(spark):
     assert all(x.matched >= 70 for x in rows) and {(x.doc_id, x.source_id) for x in rows} >= {(7, 1), (8, 0)}
 
 
+def test_substring_dedup_splits_chains_at_gaps(spark):
+    r = random.Random(61)
+    vocab = [f"u{i}" for i in range(5000)]
+    fill = lambda n: r.choices(vocab, k=n)
+    docs, want = [], []
+    for gap in (10, 50, 120, 250, 400):
+        one, two = fill(60), fill(60)
+        docs += [fill(20) + one + fill(gap) + two + fill(20), fill(30) + one + fill(gap) + two + fill(10)]
+        want += [{(30, 90), (90 + gap, 150 + gap)} if gap > 30 else {(30, 150 + gap)}]
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    rows = substring_dedup.passages(d).collect()
+    for i, spans in enumerate(want):
+        assert {(x.start, x.end) for x in rows if x.doc_id == 2 * i + 1} == spans
+    assert {(x.doc_id, x.source_id) for x in rows} == {(2 * i + 1, 2 * i) for i in range(len(want))}
+
+
+def test_alignment_equals_brute_force_over_parts():
+    r = random.Random(62)
+    for _ in range(30):
+        x, y, spans = [], [], []
+        for _ in range(r.randint(1, 4)):
+            n, gap = r.randint(20, 90), r.randint(0, 120)
+            both = [r.randrange(10**6) for _ in range(n)]
+            spans.append((len(x), len(x) + n))
+            x, y = x + both + [r.randrange(10**6) for _ in range(gap)], y + both + [r.randrange(10**6) for _ in range(gap)]
+        b = np.concatenate([np.arange(s, e - substring_dedup.K + 1, 5) for s, e in spans])
+        got = substring_dedup.align(np.array(x, np.uint64), np.array(y, np.uint64), b, b)
+        parts = [(sum(e - s for s, e in spans[i : j + 1]), spans[i][0], spans[j][1]) for i in range(len(spans)) for j in range(i, len(spans))]
+        parts = [p for p in parts if p[2] - p[1] >= substring_dedup.MIN_WORDS and 100 * p[0] >= substring_dedup.IDENTITY * (p[2] - p[1])]
+        assert max(parts, default=(0,))[0] == max((g[4] for g in got), default=0)
+        assert all(any(g[0] < e and s < g[1] for g in got) for _, s, e in parts)
+
+
 def test_fenwick_chain_equals_brute_force():
     r = np.random.default_rng(2)
     for _ in range(40):
