@@ -270,6 +270,47 @@ def test_alignment_equals_brute_force_over_parts():
         assert all(any(g[0] < e and s < g[1] for g in got) for _, s, e in parts)
 
 
+def test_substring_dedup_finds_passages_whose_parts_other_documents_have(spark):
+    r = random.Random(63)
+    vocab = [f"u{i}" for i in range(5000)]
+    fill = lambda n: r.choices(vocab, k=n)
+    docs, want = [], set()
+    for _ in range(12):
+        parts = [fill(20) for _ in range(3)]
+        whole = parts[0] + parts[1] + parts[2]
+        alone = lambda parts=parts: [fill(15) + p + fill(15) for p in parts]
+        first = len(docs) + 3
+        docs += [*alone(), fill(25) + whole + fill(25), *alone(), fill(30) + whole + fill(10)]
+        want.add((len(docs) - 1, 30, 90, first, 25, 85))
+    d = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")
+    assert {tuple(x)[:6] for x in substring_dedup.passages(d).collect()} == want
+
+
+def test_substring_dedup_covers_all_exact_repeats(spark):
+    r = random.Random(64)
+    pool = [r.choices([f"u{i}" for i in range(3000)], k=9) for _ in range(40)]
+    sources = [sum(r.choices(pool, k=60), []) for _ in range(4)]
+    docs = []
+    for _ in range(120):
+        words = []
+        for _ in range(r.randint(1, 4)):
+            source, n = r.choice(sources), r.randint(40, 70)
+            at = r.randrange(len(source) - n)
+            words += r.choices([f"v{i}" for i in range(3000)], k=r.randint(0, 30)) + source[at : at + n]
+        docs.append(words)
+    n, seen, missed, repeats = substring_dedup.MIN_WORDS, set(), [], 0
+    rows = substring_dedup.passages(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).collect()
+    for d, words in enumerate(docs):
+        runs = [tuple(words[i : i + n]) for i in range(len(words) - n + 1)]
+        covered = {w for x in rows if x.doc_id == d for w in range(x.start, x.end)}
+        for i, run in enumerate(runs):
+            if run in seen:
+                repeats += 1
+                missed += [] if covered.issuperset(range(i, i + n)) else [(d, i)]
+        seen |= set(runs)
+    assert repeats > 500 and missed == []
+
+
 def test_fenwick_chain_equals_brute_force():
     r = np.random.default_rng(2)
     for _ in range(40):
