@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last
 return the columns of documents. Quality rules drop documents, line dedup cuts lines out of texts, the Jaccard join leaves one
-document of each group, mixing orders all documents by source weights (the order of rows in the files), and encoding adds ids.
+document of each group, mixing orders all documents by source weights (the order of rows in the files), and encoding adds ids and the position. Files are not
+read in order, so the last stage makes the order anew from the schedule, which depends on the rows only.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents with their SentencePiece ids."""
-    return sentencepiece_codec.encode(docs, sentencepiece_codec.model_path(), remembered=200_000)
+    """All documents with their SentencePiece ids and position, in the order of positions."""
+    return sentencepiece_codec.encode(mixing.interleave(docs, position="position"), sentencepiece_codec.model_path(), remembered=200_000)
 
 
 STAGES = [

@@ -137,14 +137,18 @@ def slots(docs: DataFrame, weights: dict | None = None, source: str = "source",
     return out.drop("__s_i", "__p_s", "__p_phases", "__p_p"), sum(blocks.values())
 
 
-def interleave(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """All rows and columns of docs in mixed order: partition by partition, and sorted by position within each."""
+def interleave(docs: DataFrame, weights: dict | None = None, source: str = "source", doc_id: str = "doc_id", block: int = BLOCK, position: str | None = None) -> DataFrame:
+    """All rows and columns of docs in mixed order: partition by partition, and sorted by position within each.
+
+    position: a column for it, which is replaced if docs has one. Readers of files need not keep the order of rows.
+    """
+    docs = docs.drop(position) if position else docs
     kept = docs.select(*(F.col(c).alias(f"__c_{c}") for c in docs.columns), F.col(source).alias("source"), F.col(doc_id).alias("doc_id"))
     kept = kept.withColumn("__c_tie", F.xxhash64(*[F.col(f"__c_{c}") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]))
     out, n = slots(kept, weights, block=block, ties=[F.col("__c_tie")])
     p = partitions(docs.sparkSession)
     part = F.expr(f"cast(position div {-(-max(n, 1) * block // p)} as int)")
-    return out.repartitionById(p, part).sortWithinPartitions("position").select(*(F.col(f"__c_{c}").alias(c) for c in docs.columns))
+    return out.repartitionById(p, part).sortWithinPartitions("position").select(*(F.col(f"__c_{c}").alias(c) for c in docs.columns), *([F.col("position").alias(position)] if position else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

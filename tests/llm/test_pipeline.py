@@ -1,11 +1,12 @@
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import corpus_pipeline
 from test_operators import brute_components
 
-from lodestone.llm import line_dedup, sentencepiece_codec
+from lodestone.llm import line_dedup, mixing, sentencepiece_codec
 from lodestone.llm.tables import read, written
 
 SF = "/root/testdata/sf0.001"
@@ -33,6 +34,20 @@ def test_stages_one_by_one(spark):
     assert [r.doc_id for r in ids] == [r.doc_id for r in mixed] and all(vocabulary.decode(r.ids) == r.text for r in ids)
 
 
+def test_last_stage_keeps_the_mixed_order_over_unequal_files(spark):
+    r = random.Random(10)
+    rows = [(i, " ".join(str(r.random()) for _ in range(r.choice((1, 2, 400)))), "en", r.choice("aaaaab"), 1) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        mixed = written(corpus_pipeline.mixed(spark, docs, SF), "test")
+        got = corpus_pipeline.encode(spark, mixed, SF).select("doc_id", "source", "position").collect()
+        want = mixing.slots(docs)[0].select("doc_id", "position").orderBy("position").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert [(x.doc_id, x.position) for x in got] == [tuple(x) for x in want]
+
+
 def test_run_applies_all_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert "ids" in got.columns and got.count() > 0
