@@ -8,8 +8,8 @@ Over the words of a text, Viterbi finds the labels of the best total score less
 that mixed texts get spans. A text's language is the one with most letters in its spans.
 
 n-gram counts are taken from all training rows: they are pre-aggregated before the shuffle. The tables that are
-broadcast hold the n-grams counted at least MIN_COUNT times; their number is bounded by MAX_GRAMS, the most frequent
-first, a bound on the classifier and not on rows.
+broadcast hold all n-grams counted at least MIN_COUNT times, so no language loses its table to the size of another. Their
+number grows with the languages and alphabets of the corpus, and the driver collects them.
 
 Results for special rows: null text or text without letters gives lang_pred 'und', score 0 and no spans; words of scripts that
 no language was trained on say nothing, and a text of only such words gets the language with most training letters,
@@ -33,7 +33,6 @@ from .tables import read, written
 
 ORDERS = (1, 2, 3)
 MIN_COUNT = 3
-MAX_GRAMS = 200_000
 SWITCH = 12.0
 SCRIPT_SHARE = 0.01
 #: Least score of a word for a language; words that a worker remembers.
@@ -287,14 +286,14 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     schema = "lang string, kind string, key string, n long"
     counts = written(rows.mapInArrow(_counted, schema).groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "grams")
-    known = counts.where(f"kind = 'g' and n >= {MIN_COUNT}").orderBy(F.desc("n"), "lang", "key").limit(MAX_GRAMS)
+    known = counts.where(f"kind = 'g' and n >= {MIN_COUNT}")
     return Model([tuple(r) for r in known.union(counts.where("kind = 's'")).collect()])
 
 
 def label(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs with lang_pred, score and spans (start and end in characters, lang); columns of these names are replaced."""
     docs = docs.drop("lang_pred", "score", "spans")
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_GRAMS n-grams
+    held = docs.sparkSession.sparkContext.broadcast(model)
     span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())])
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
     at = docs.columns.index(text)

@@ -311,6 +311,15 @@ def test_substring_dedup_covers_all_exact_repeats(spark):
     assert repeats > 500 and missed == []
 
 
+def test_language_keeps_its_table_beside_large_ones(spark):
+    r = random.Random(90)
+    hot = [" ".join("".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(3)) for _ in range(600)) for _ in range(100)]
+    rows = [(t, "zh") for t in hot for _ in range(7)] + [("bani deko lumi", "aa"), ("ruxo wepy quzi", "bb")] * 3
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    got = language_id.label(spark.createDataFrame([(1, "deko lumi bani"), (2, "wepy quzi ruxo")], "doc_id long, text string"), model).collect()
+    assert {x.doc_id: x.lang_pred for x in got} == {1: "aa", 2: "bb"}
+
+
 def test_fenwick_chain_equals_brute_force():
     r = np.random.default_rng(2)
     for _ in range(40):
