@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -40,9 +40,14 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small(df: DataFrame, limit: int) -> DataFrame:
-    """df with a broadcast hint if it has at most limit rows (it is counted), else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small(df: DataFrame, limit: int, size: Column | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most limit rows, else as it is, for a shuffled join.
+
+    df is counted, so it is a table that is cheap to read. Its columns are of fixed width, but for what size counts in each
+    row, of which there may be at most limit in all.
+    """
+    n, total = df.agg(F.count("*"), F.sum(F.lit(0) if size is None else size)).first()
+    return F.broadcast(df) if n <= limit and (total or 0) <= limit else df
 
 
 def forget(df: DataFrame) -> None:

@@ -201,20 +201,20 @@ def test_ngram_join_equals_brute_force(spark, k, percent):
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(4)
     vocab = [f"v{i}" for i in range(200)]
-    lines = [r.choices(vocab, k=r.choice([1, 3, 6, 15, 40])) for _ in range(60)]
+    lines = [r.choices(vocab, k=r.choice([1, 3, 5, 6, 15, 40, 130])) for _ in range(60)]
     docs = []
     for i in range(60):
         some = [[w if r.random() > 0.04 else r.choice(vocab) for w in r.choice(lines)] for _ in range(r.randint(0, 6))]
-        docs.append((i, "\n".join(" ".join(s) for s in some)))
+        docs.append((i, "\n".join(r.choice([" ", " ", "  ", "\t"]).join(s) for s in some)))
     got = {x.doc_id: x.text for x in line_dedup.dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     earlier, want = [], {}
     for i, t in docs:
         kept = []
         for line in t.split("\n"):
             s = set(WORD.findall(line))
-            if len(s) < line_dedup.MIN_TOKENS or not any(100 * len(s & e) >= 80 * len(s | e) for e in earlier):
+            if not s or not any(100 * len(s & e) >= 80 * len(s | e) for e in earlier):
                 kept.append(line)
-            if len(s) >= line_dedup.MIN_TOKENS:
+            if s:
                 earlier.append(s)
         want[i] = "\n".join(kept)
     assert got == want

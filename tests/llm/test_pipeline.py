@@ -23,7 +23,7 @@ def test_stages_one_by_one(spark):
             assert docs.columns == columns
     source, rules, lines, similar, mixed, ids = (k.collect() for k in kept)
     assert 0 < len(rules) < len(source) and len(lines) == len(rules)
-    cut = {r.doc_id: set(r.lines) for r in line_dedup.removed(kept[1]).selectExpr("doc.d as doc_id", "lines").collect()}
+    cut = {r.doc_id: set(r.lines) for r in line_dedup.removed(kept[1], line_dedup.Keys(kept[1])).selectExpr("d as doc_id", "lines").collect()}
     assert {r.doc_id: r.text for r in lines} == {r.doc_id: "\n".join(s for i, s in enumerate(r.text.split("\n")) if i not in cut.get(r.doc_id, ())) for r in rules}
     assert all(r.n_chars == len(r.text) for r in lines if r.doc_id in cut)
     ordered = sorted(lines, key=lambda r: r.doc_id)
