@@ -31,7 +31,7 @@ from .tables import forget, read, small, written
 PERCENT = 80
 RARITY_BITS = 16
 #: Tokens of a prefix, those of least hash, by which a line is first held against an earlier one.
-FIRST = 4
+FIRST = 3
 #: Sets of more tokens than this have signatures of 128 bits.
 LONG = 40
 #: Rows, or lines named in them, up to which a table is broadcast; more are joined by a shuffle.
@@ -111,13 +111,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: list[str]) -> DataFrame:
     """The places of the later lines of pairs (x, y), two places, that truly link; docs has no row twice."""
     pairs = written(pairs.select(F.least("x", "y").alias("early"), F.greatest("x", "y").alias("late")).distinct(), "pairs")
     ids = written(pairs.select(F.explode(F.array("early", "late")).alias("id")).distinct().select("id.*"), "ids")
-    texts = docs.join(small(written(ids.select(*key).distinct(), "ids"), BROADCAST_ROWS), key, "left_semi")
+    whose = written(ids.select(*key).distinct(), "ids")
+    texts = docs.join(small(whose, BROADCAST_ROWS), key, "left_semi")
     lines = written(_lines(texts, key).join(small(ids, BROADCAST_ROWS), [*key, "line"], "left_semi").select(F.struct(*key, "line").alias("id"), "s"), "lines")
     # whole lines travel, as arrays of words would take three times the room
     both = pairs.join(lines.select(F.col("id").alias("early"), F.col("s").alias("a")), "early").join(lines.select(F.col("id").alias("late"), F.col("s").alias("b")), "late")
     both = both.select("late", F.explode(F.array(F.struct(F.array_distinct(_words(F.col("a"))).alias("a"), F.array_distinct(_words(F.col("b"))).alias("b")))).alias("w"))
     both = both.select("late", F.size("w.a").alias("n"), F.size("w.b").alias("m"), F.size(F.array_intersect("w.a", "w.b")).alias("o"))
-    return both.where(100 * F.col("o") >= PERCENT * (F.col("n") + F.col("m") - F.col("o"))).select("late.*").distinct()
+    found = written(both.where(100 * F.col("o") >= PERCENT * (F.col("n") + F.col("m") - F.col("o"))).select("late.*").distinct(), "matched")
+    forget(pairs, ids, whose, lines)
+    return found
 
 
 class Keys:
@@ -134,7 +137,7 @@ class Keys:
 
 
 def removed(docs: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
-    """(key columns, lines): for each document with removed lines, their numbers from 0 in order."""
+    """(key columns, lines): for each document with removed lines, their numbers from 0 in order. A written table."""
     key = keys.names
     docs = docs.select(*(c.alias(n) for n, c in keys.columns.items()), F.col(text).alias("text"))
     if keys.repeated:
@@ -154,12 +157,14 @@ def removed(docs: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
     earliest = rare.groupBy("token").agg(F.min(F.struct(*key, "line", "p", "s0", "s1")).alias("e"), F.count("*").alias("c")).where("c > 1").select("token", "e.*")
     places = [F.struct(*(f"{side}.{k}" for k in (*key, "line"))).alias(side) for side in ("x", "y")]
     hit = rare.alias("x").join(earliest.alias("y"), "token").where(_fits("x", "y")).select(*places).where("x <> y")
-    one = written(_verified(hit, docs, key), "matched")
+    one = _verified(hit, docs, key)
 
     # the longer line's whole prefix against the part of the shorter one's that a line at least as long must share; pairs of
     # which both lines are removed already need no look
     state = sets.join(small(one, BROADCAST_ROWS).withColumn("done", F.lit(1)), [*key, "line"], "left")
     state = written(state.select(*key, "line", "n", "s0", "s1", "prefix", F.coalesce("done", F.lit(0)).alias("done")), "state")
+    equal = written(marked.where("again").select(*key, "line"), "equal")
+    forget(marked)
 
     def rows(until: str) -> DataFrame:
         """A row for each token of the prefixes, up to a number of them: the token and the one before it in one long."""
@@ -173,8 +178,9 @@ def removed(docs: DataFrame, keys: Keys, text: str = "text") -> DataFrame:
     # of a run of common tokens the first alone makes the pair: sizes and positions allow all of a run or none
     hit = hit.where("(x.t <> y.t or x.t & 4294967295 = 4294967295) and shiftright(x.p, 32) >= shiftright(y.p, 32) and x.p & y.p & 1 = 0")
     two = _verified(hit.where(_fits("x", "y")).select(*places).where("x <> y"), docs, key)
-    gone = marked.where("again").select(*key, "line").union(one).union(two)
-    return gone.groupBy(*key).agg(F.array_sort(F.collect_set("line")).alias("lines"))
+    gone = written(equal.union(one).union(two).groupBy(*key).agg(F.array_sort(F.collect_set("line")).alias("lines")), "removed")
+    forget(state, equal, one, two)
+    return gone
 
 
 def _joined(docs: DataFrame, keys: Keys, gone: DataFrame) -> DataFrame:
@@ -192,7 +198,7 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", length: s
     length: a column that is set to the number of characters of texts that changed.
     """
     keys = Keys(docs, text, doc_id)
-    out = _joined(docs, keys, written(removed(docs, keys, text), "removed"))
+    out = _joined(docs, keys, removed(docs, keys, text))
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda s, i: ~F.array_contains(F.col("__l_lines"), i)), "\n")
     changed = F.col("__l_lines").isNotNull()
     out = out.withColumn(text, F.when(changed, kept).otherwise(F.col(text)))
@@ -205,7 +211,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_lines, n_removed and the numbers of the removed lines, comma-joined, of every document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     keys = Keys(docs)
-    gone = written(removed(docs, keys), "removed")
+    gone = removed(docs, keys)
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
     counted = docs.select("doc_id", n_lines, *([F.col("text")] if "h" in keys.names else []))
     out = _joined(counted, keys, gone)

@@ -50,9 +50,10 @@ def small(df: DataFrame, limit: int, size: Column | None = None) -> DataFrame:
     return F.broadcast(df) if n <= limit and (total or 0) <= limit else df
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes the files of a table that written() gave, once nothing that is still to run reads it."""
-    spark = df.sparkSession
-    for file in df.inputFiles()[:1]:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of tables that written() gave, once nothing that is still to run reads them."""
+    for df in tables:
+        spark = df.sparkSession
+        for file in df.inputFiles()[:1]:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+            folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
