@@ -127,9 +127,9 @@ class Keys:
     """The columns of a document's key and place: its id, with a hash of the text where ids repeat with other texts."""
 
     def __init__(self, docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> None:
-        ids = docs.groupBy(F.col(doc_id).alias("d")).agg(F.count("*").alias("n"), F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b"))
-        repeated, other = ids.agg(F.max(F.col("n") > 1), F.max(~F.col("a").eqNullSafe(F.col("b")))).first()
-        self.repeated = bool(repeated)
+        d = F.col(doc_id).alias("d")
+        self.repeated = not docs.groupBy(d).count().where("count > 1").isEmpty()
+        other = self.repeated and not docs.groupBy(d).agg(F.min(F.xxhash64(text)).alias("a"), F.max(F.xxhash64(text)).alias("b")).where("a <> b").isEmpty()
         self.columns = {"d": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long"))}
         if other:
             self.columns["h"] = F.xxhash64(text)

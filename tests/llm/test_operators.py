@@ -311,6 +311,48 @@ def test_substring_dedup_covers_all_exact_repeats(spark):
     assert repeats > 500 and missed == []
 
 
+@pytest.mark.parametrize("changed", [0.05, 0.10, 0.15])
+def test_substring_dedup_recall_of_fuzzy_passages(spark, changed):
+    r = random.Random(65)
+    vocab = [f"u{i}" for i in range(5000)]
+    fill = lambda n: r.choices(vocab, k=n)
+    docs, want = [], set()
+    for i in range(100):
+        passage = fill(r.randint(60, 150))
+        fuzzy = [w if r.random() > changed else r.choice(vocab) for w in passage]
+        if i % 3 == 0:  # a word put in and one left out
+            fuzzy = fuzzy[:20] + ["extra"] + fuzzy[20:40] + fuzzy[41:]
+        docs += [fill(r.randint(0, 60)) + passage + fill(r.randint(0, 60)), fill(r.randint(0, 60)) + fuzzy + fill(r.randint(0, 60))]
+        want.add((2 * i + 1, 2 * i))
+    rows = substring_dedup.passages(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).collect()
+    found = {(x.doc_id, x.source_id) for x in rows}
+    assert found <= want and len(found) >= 0.9 * len(want)
+
+
+def test_substring_dedup_within_one_text_and_without_ids(spark):
+    r = random.Random(66)
+    vocab = [f"u{i}" for i in range(5000)]
+    one, two = r.choices(vocab, k=70), r.choices(vocab, k=90)
+    fill = lambda n: r.choices(vocab, k=n)
+    docs = [(3, one + fill(40) + one + fill(9)), (None, two + fill(30)), (7, fill(20) + two), (8, ["a", "b"] * 300)]
+    rows = {tuple(x) for x in substring_dedup.passages(spark.createDataFrame([(i, " ".join(x)) for i, x in docs], "doc_id long, text string")).collect()}
+    assert {x for x in rows if x[0] != 8} == {(3, 110, 180, 3, 0, 70, 70), (7, 20, 110, None, 0, 90, 90)}
+
+
+def test_substring_dedup_pairs_of_frequent_seeds(spark):
+    """Passages of seeds that more than RARE documents have, each with another first document."""
+    r = random.Random(67)
+    vocab = [f"u{i}" for i in range(5000)]
+    fill = lambda n: r.choices(vocab, k=n)
+    parts = [fill(30) for _ in range(3)]
+    docs = [fill(5) + parts[i % 3] + fill(5) for i in range(3 * (substring_dedup.RARE + 5))]
+    whole = sum(parts, [])
+    docs += [fill(12) + whole + fill(7) for _ in range(substring_dedup.RARE + 5)]
+    rows = substring_dedup.passages(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(docs)], "doc_id long, text string")).collect()
+    first = 3 * (substring_dedup.RARE + 5)
+    assert {(x.doc_id, x.source_id, x.start, x.end) for x in rows} == {(i, first, 12, 102) for i in range(first + 1, len(docs))}
+
+
 def test_language_keeps_its_table_beside_large_ones(spark):
     r = random.Random(90)
     hot = [" ".join("".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(3)) for _ in range(600)) for _ in range(100)]
