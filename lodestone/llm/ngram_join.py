@@ -10,13 +10,14 @@ percent * union. Steps:
 2. Equal sets become one representative with members.
 3. Prefixes. All shingles of the representatives are counted; each set is ordered from rare to common, and its prefix is
    what two linked sets must share a shingle of. Shingles of a single set lead the order and need no join.
-4. Grouping. Representatives with equal prefixes and size become one group. Groups are joined on prefix shingles, with size
-   and position filters, then expanded to members and verified on the whole sets.
-5. Only components are asked for, so pairs that are connected already are not verified: first every member is held
-   against its group's leader, and a leader against the group it shares most prefix shingles with; then, for
-   shingles whose groups still fall into several components, all pairs across components whose 256-bit parity signatures do
-   not rule them out. A large group of near
-   copies costs work in proportion to its size and no link between components is missed.
+4. Grouping. Representatives with equal prefixes and size become one group. Only components are asked for, so pairs that are
+   connected already need no look: first every member is held against its group's leader, and a leader against the leader
+   of the group that it shares most prefix shingles with. A group's members are then classed by component. So a large
+   group of near copies costs work in proportion to its size.
+5. Groups are joined on the prefix shingles whose groups still fall into several components: a first round holds each class
+   against one other, by one member each; then all pairs of groups with classes of different components that sizes and
+   positions allow are expanded to the members of these classes, and those pairs of members that their 256-bit parity
+   signatures do not rule out are verified on the whole sets. No link between components is missed.
 
 Results for special rows: null, empty and blank texts have an empty set, link with nothing and are their own component;
 a null doc_id belongs to a component but never names it (its component_id is null if it is alone); repeated rows link.
@@ -36,11 +37,11 @@ from pyspark.sql import types as T
 from . import blocks as bl
 from . import text as tx
 from .graph import components
-from .tables import partitions, read, small, written
+from .tables import forget, partitions, read, small, written
 
 SAMPLE = 3
-#: Rounds in which sets of one shingle are held against one of them before all pairs across components are looked at.
-ROUNDS = 3
+#: Rounds in which groups of one shingle are held against one of them before all pairs across components are looked at.
+ROUNDS = 1
 #: Up to so many survivors are broadcast for the join with documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -253,47 +254,59 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the representatives (key, n, set) that link with others, by least key."""
     found = written(_prefixes(reps, percent), "prefixes")
     groups = found.groupBy("gid").agg(F.min("key").alias("leader"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("prefix").alias("prefix"))
+    groups = written(groups, "groups")
     rows = groups.select("gid", "leader", "n", "lead", F.posexplode("prefix").alias("at", "token"))
-    # of a group of near copies, the one with fewest shingles of its own is the likeliest original
+    # stars: of a group of near copies, the one with fewest shingles of its own is the likeliest original
     anchor = rows.groupBy("token").agg(F.min(F.struct("lead", "n", "gid", "leader")).alias("to"), F.count("*").alias("groups")).where("groups > 1")
     near = rows.join(anchor, "token").where(f"gid <> to.gid and 100 * least(n, to.n) >= {percent} * greatest(n, to.n)")
     best = near.groupBy("gid", "leader", F.col("to.leader").alias("y")).agg(F.count("*").alias("shared"))
     best = best.groupBy("gid", "leader").agg(F.max_by("y", F.struct("shared", "y")).alias("y")).select(F.col("leader").alias("x"), "y")
     own = found.join(groups.select("gid", "leader"), "gid").where("key <> leader").select(F.col("key").alias("x"), F.col("leader").alias("y"))
-    first = written(_verified(best.union(own), reps, percent), "links")
+    edges = written(_verified(best.union(own), reps, percent), "links")
 
-    tokens = found.select("key", "n", "lead", F.posexplode("prefix").alias("at", "token")).join(_signatures(reps), "key")
-    tokens = written(tokens, "tokens")
-    own = ("key", "n", "comp", "lead", "at", "s0", "s1", "s2", "s3")
+    members = written(found.select("key", "gid").join(_signatures(reps), "key"), "members")
     # overlap <= the shared shingles before this one in the shorter prefix, and this one with what follows in the shorter
     # rest; a set's leading shingles are in no other set
     bound = F.expr("least(at1, at2) + least(n1 - lead1 - at1, n2 - lead2 - at2)")
-    apart = F.expr(" + ".join(f"bit_count(s{i}1 ^ s{i}2)" for i in range(4)))
     fits = F.expr(f"comp1 <> comp2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)") & ((100 + percent) * bound >= percent * F.expr("n1 + n2"))
-    fits &= apart * (100 + percent) <= (100 - percent) * F.expr("n1 + n2")
+    apart = F.expr(f"({' + '.join(f'bit_count(s{i}1 ^ s{i}2)' for i in range(4))}) * {100 + percent} <= {100 - percent} * (n1 + n2)")
+    marks = ["s0", "s1", "s2", "s3"]
+    columns = ["gid", "comp", "n", "lead", "at", "key", *marks]
+    side = lambda df, i, names: df.select(*([] if "token" not in df.columns else ["token"]), *(F.col(c).alias(f"{c}{i}") for c in names))
     pair = F.struct(F.least("key1", "key2").alias("x"), F.greatest("key1", "key2").alias("y")).alias("p")
 
-    def open_tokens(comp: DataFrame) -> DataFrame:
-        """The rows of shingles whose sets are in several components."""
-        member = tokens.join(comp, F.col("key") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "key")).drop("node", "component")
-        mixed = member.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
-        return written(member.join(mixed, "token", "left_semi"), "open")
-
-    edges = first
     for attempt in range(ROUNDS + 1):
         comp = components(edges, "x", "y")
-        rest = open_tokens(comp)
-        one = rest.select("token", *(F.col(c).alias(f"{c}1") for c in own))
-        if attempt < ROUNDS:  # each shingle's sets against one of them, another one for each shingle and round
-            some = rest.groupBy("token").agg(F.min_by(F.struct(*own), F.xxhash64("token", "key", F.lit(attempt))).alias("r"))
-            two = some.select("token", *(F.col(f"r.{c}").alias(f"{c}2") for c in own))
-        else:
-            two = rest.select("token", *(F.col(c).alias(f"{c}2") for c in own))
-        cross = written(one.join(two, "token").where(fits).select(pair).select("p.*").distinct(), "cross")
+        # the classes of a group: its members by component; most groups have one
+        placed = written(members.join(comp, F.col("key") == F.col("node"), "left").select("key", "gid", F.coalesce("component", "key").alias("comp"), *marks), "placed")
+        classes = placed.groupBy("gid", "comp").agg(F.min(F.struct("key", *marks)).alias("r")).select("gid", "comp", "r.*")
+        tokens = written(rows.drop("leader").join(classes, "gid"), "tokens")
+        mixed = tokens.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
+        rest = written(tokens.join(mixed, "token", "left_semi"), "open")
+        if rest.isEmpty():
+            break
+        one = side(rest, 1, columns)
+        if attempt < ROUNDS:  # each shingle's classes against one of them, by one member each
+            some = rest.groupBy("token").agg(F.min_by(F.struct(*columns), F.xxhash64("token", "key", F.lit(attempt))).alias("r")).select("token", "r.*")
+            cross = one.join(side(some, 2, columns), "token").where(fits & apart).select(pair)
+        else:  # pairs of groups, expanded to their members of different components
+            order = F.struct("gid1", "comp1") < F.struct("gid2", "comp2")
+            paired = one.join(side(rest, 2, columns), "token").where(fits & order).select("gid1", "comp1", "n1", "gid2", "comp2", "n2").distinct()
+            for i in (1, 2):
+                paired = paired.join(side(placed, i, ["gid", "comp", "key", *marks]), [f"gid{i}", f"comp{i}"])
+            cross = paired.where(apart).select(pair)
+        cross = written(cross.select("p.*").distinct(), "cross")
         more = written(_verified(cross, reps, percent), "links")
-        if not more.isEmpty():
-            edges = written(edges.union(more), "links")
-    return components(edges, "x", "y")
+        forget(placed, tokens, rest, cross)
+        if more.isEmpty():
+            if attempt == ROUNDS:
+                break
+            continue
+        edges = written(edges.union(more), "links")
+        if attempt == ROUNDS:
+            comp = components(edges, "x", "y")
+    forget(found, groups, members)
+    return comp
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -305,7 +318,10 @@ def join(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text", doc
     comp = links(reps, percent).select(F.col("node").alias("__j_node"), F.col("component").alias("__j_comp"))
     tied = members.drop("__j_set").join(comp, F.col("__j_key") == F.col("__j_node"), "left").withColumn("__j_comp", F.coalesce("__j_comp", "__j_key")).drop("__j_node", "__j_key")
     tied = written(tied, "members")
-    least = tied.where("__j_n > 0").groupBy(F.col("__j_comp").alias("__j_c")).agg(F.min(doc_id).alias("__j_least"))
+    forget(members)
+    # a row for each component of several documents
+    least = tied.where("__j_n > 0").groupBy(F.col("__j_comp").alias("__j_c")).agg(F.min(doc_id).alias("__j_least"), F.count("*").alias("__j_m")).where("__j_m > 1").drop("__j_m")
+    least = small(written(least, "least"), BROADCAST_IDS)
     named = tied.join(least, (F.col("__j_comp") == F.col("__j_c")) & (F.col("__j_n") > 0), "left")
     named = named.withColumn("n_shingles", F.col("__j_n")).withColumn("component_id", F.coalesce("__j_least", doc_id))
     return named.drop("__j_n", "__j_comp", "__j_c", "__j_least")
@@ -317,7 +333,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, text: str = "text",
     Rows with a null doc_id stay: nothing names them.
     """
     ids = written(join(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), k, percent), "components")
-    gone = small(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__k_id")).distinct(), BROADCAST_IDS)
+    gone = small(written(ids.where("doc_id <> component_id").select(F.col("doc_id").alias("__k_id")).distinct(), "gone"), BROADCAST_IDS)
     out = docs.join(gone, F.col(doc_id) == F.col("__k_id"), "left_anti")
     again = ids.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("__k_id")).count().where("count > 1").select("__k_id")
     if again.isEmpty():
