@@ -171,15 +171,22 @@ class Encoder:
         return tuple(out)
 
     def _part(self, table: dict[str, tuple[int, ...]], key: str, lead: str) -> tuple[int, ...]:
-        """The ids of lead + key, remembered by key. Marks at a word's end that no piece joins to it go by themselves."""
-        cut = len(key)
+        """The ids of lead + key, remembered by key. Marks at a word's end are cut wherever no piece holds both neighbours,
+        and the parts go by themselves."""
+        cut, start, inner = len(key), 0, self.v.inner
         while cut > 1 and not key[cut - 1].isalnum():
             cut -= 1
-        if cut < len(key) and key[cut - 1 : cut + 1] not in self.v.inner:
-            word, tail = key[:cut], key[cut:]
-            ids = (table.get(word) or self._part(table, word, lead)) + (self.plain.get(tail) or self._part(self.plain, tail, ""))
-        else:
-            ids = self._ids(lead + key)
+        found: list[tuple[int, ...]] = []
+        for i in range(cut, len(key) + 1):
+            if i == len(key) or key[i - 1 : i + 1] not in inner:
+                own, before = (self.plain, "") if start else (table, lead)
+                part = key[start:i]
+                ids = own.get(part) or self._remember(own, part, self._ids(before + part))
+                found.append(ids)
+                start = i
+        return found[0] if len(found) == 1 else self._remember(table, key, tuple(itertools.chain.from_iterable(found)))
+
+    def _remember(self, table: dict[str, tuple[int, ...]], key: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(key) <= 64:
             if len(table) >= self.remembered:
                 table.clear()
