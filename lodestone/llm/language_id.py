@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import itertools
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 
@@ -55,7 +56,9 @@ SCRIPTS = [
     ("han", 0x3400, 0x9FFF),
     ("hangul", 0xAC00, 0xD7AF),
 ]
-_WORD = re.compile(r"[^\W\d_]+")
+# characters that count as alphanumeric but are neither letters nor decimal digits, such as fractions and Roman numerals
+_NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERIC)}]+")
 
 
 def script(c: str) -> str:

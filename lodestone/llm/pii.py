@@ -11,8 +11,8 @@ window over the matches of one text. Patterns are written so that they match as
 characters once and without nested repetition, so that long texts cost time in proportion. Texts are read once;
 what goes on are candidates with 24 characters to either side.
 
-Accepted spans that overlap each other are merged under the kind of the best score; those that overlap a base span are
-left out. Null text is empty; a text without spans has counts 0 and the hash of nothing; repeated rows each have a row.
+Accepted spans that overlap each other are merged under the kind of the best score; of what a base span covers, only the
+parts beside it are added, without spaces and marks at their ends. Null text is empty; a text without spans has counts 0 and the hash of nothing; repeated rows each have a row.
 """
 
 from __future__ import annotations
@@ -131,7 +131,7 @@ def features() -> dict[str, Column]:
         "f_lower": _count("a-z"),
         "f_marks": _count("+/_=-"),
         "f_spaces": _count(" ()."),
-        "f_distinct": F.size(F.array_distinct(F.split(F.left("hit", F.lit(200)), ""))),
+        "f_distinct": F.size(F.array_distinct(F.split("hit", ""))),
         "f_hex": flag(hit.rlike("^[0-9a-fA-F]+$")),
         "f_plain": flag(hit.rlike("^[0-9]+$")),
         "f_ssn": flag(hit.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$")),
@@ -238,23 +238,44 @@ def spans(candidates: DataFrame) -> DataFrame:
     """(row, kind, start, end, base) of the base spans and of the redactions added, for candidates (row, found)."""
     expression, thresholds = _model(candidates.sparkSession.sparkContext.applicationId)
     every = _placed(candidates.select("row", F.explode("found").alias("x")).select("row", "x.*"))
-    base = every.where(F.col("kind").isin(BASE) & valid()).select("row", "kind", "start", "end", F.lit(True).alias("base"), F.lit(0.0).alias("score"))
-    scored = every.where(F.col("kind").isin(ADDED)).select("row", "kind", "start", "end", *(c.alias(n) for n, c in features().items()))
+    base = written(every.where(F.col("kind").isin(BASE) & valid()).select("row", "kind", "start", "end", F.lit(True).alias("base")), "base")
+    scored = every.where(F.col("kind").isin(ADDED)).select("row", "kind", "start", "end", "hit", *(c.alias(n) for n, c in features().items()))
     # stored, as the planner would otherwise copy each feature's expression into every node of the trees
     scored = written(scored, "features").withColumn("score", F.expr(expression))
     least = F.coalesce(*(F.when(F.col("kind") == k, F.lit(t)) for k, t in thresholds.items()))
-    added = scored.where(F.col("score") >= least).select("row", "kind", "start", "end", F.lit(False).alias("base"), "score")
-    both = base.union(added)
-    order = Window.partitionBy("row").orderBy("start", "end", "kind")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    group = F.sum(F.when(F.col("start") < F.coalesce(F.col("reach"), F.lit(0)), 0).otherwise(1)).over(order)
-    both = both.withColumn("reach", reach).withColumn("group", group)
-    merged = both.groupBy("row", "group").agg(
-        F.max("base").alias("base"), F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("kind", F.struct("score", "start", "kind")).alias("kind"),
-        F.collect_list(F.when(F.col("base"), F.struct("kind", "start", "end"))).alias("own"),
+    added = scored.where(F.col("score") >= least).select("row", "kind", "start", "end", "hit", "score")
+    return base.union(_beside(base, added).select("row", "kind", "start", "end", F.lit(False)))
+
+
+def _beside(base: DataFrame, added: DataFrame) -> DataFrame:
+    """(row, kind, start, end): what added spans (row, kind, start, end, hit, score) cover and base spans do not."""
+    order = Window.partitionBy("row").orderBy("start", F.desc("end"), "kind")
+    reach = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = added.withColumn("reach", reach)
+    spans = spans.withColumn("group", F.sum(F.when(F.col("start") < F.col("reach"), 0).otherwise(1)).over(order))
+    # of each span the text that those before it do not have; together they are the group's text
+    spans = spans.withColumn("new", F.expr("substring(hit, cast(greatest(reach - start, 0) + 1 as int))"))
+    parts = F.array_sort(F.collect_list(F.struct("start", (-F.col("end")).alias("e"), F.struct("kind", "new").alias("x"))))
+    groups = spans.groupBy("row", "group").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("kind", F.struct("score", "start", "kind")).alias("kind"),
+        F.array_join(F.transform(parts, lambda p: p["x"]["new"]), "").alias("text"),
     )
-    one = F.when(F.col("base"), F.col("own")).otherwise(F.array(F.struct("kind", "start", "end")))
-    return merged.select("row", "base", F.explode(one).alias("s")).select("row", "s.*", "base")
+    # a sweep over the ends of all spans: how many base spans and groups are open behind each place
+    group = F.struct("start", "end", "kind", "text")
+    none = F.lit(None)
+    edge = lambda df, at, b, g, x: df.select("row", F.col(at).alias("at"), F.lit(b).alias("b"), F.lit(g).alias("g"), x.alias("x"))
+    edges = edge(groups, "start", 0, 1, group).union(edge(groups, "end", 0, -1, F.when(F.lit(False), group)))
+    own = base.join(groups.select("row").distinct(), "row", "left_semi")
+    edges = edges.union(edge(own, "start", 1, 0, none)).union(edge(own, "end", -1, 0, none))
+    places = edges.groupBy("row", "at").agg(F.sum("b").alias("b"), F.sum("g").alias("g"), F.max("x").alias("x"))
+    so_far = Window.partitionBy("row").orderBy("at")
+    open_ = places.select("row", "at", F.lead("at").over(so_far).alias("to"), F.sum("b").over(so_far).alias("b"), F.sum("g").over(so_far).alias("g"), F.last("x", ignorenulls=True).over(so_far).alias("x"))
+    left = open_.where("g > 0 and b = 0 and to is not null").withColumn("whole", (F.col("at") == F.col("x.start")) & (F.col("to") == F.col("x.end")))
+    text = F.expr("substring(x.text, cast(at - x.start + 1 as int), cast(to - at as int))")
+    left = left.withColumn("text", text)
+    trim = lambda pattern: F.when(F.col("whole"), 0).otherwise(F.length(F.regexp_extract("text", pattern, 0)))
+    left = left.select("row", "x.kind", (F.col("at") + trim(r"^[^\p{L}\p{N}]*")).alias("start"), (F.col("to") - trim(r"[^\p{L}\p{N}]*+$")).alias("end"))
+    return left.where("start < end")
 
 
 def digest(docs: DataFrame, text: str = "text") -> DataFrame:
