@@ -102,6 +102,18 @@ def test_codec_equals_the_library_and_streams():
         ids = encoder.encode(t)
         assert ids == library.encode(t)
         assert vocabulary.decode(ids) == t.replace("▁", " ") == library.decode(ids) or "▁" in t
+    for t in ["🙂" * 5000, "。、" * 3000, "*·" * 4000, "x" + "!?" * 50_000, "日本。" * 20_000]:  # long runs of marks
+        assert encoder.encode(t) == library.encode(t)
+    # whole texts through the stream, in blocks: what is committed early is what the library gives
+    for t in [*texts[-60:], "the quick brown fox " * 300, "ab\n\ncd  e" * 100]:
+        whole = "▁" + t.replace(" ", "▁")
+        n, got = 0, []
+        for part, path in encoder.stream(whole[i : i + 64] for i in range(0, len(whole), 64)):
+            n += 1
+            for piece, end in path:
+                got += [piece] if piece != sentencepiece_codec.OTHER else [vocabulary.byte[b] for b in part[end - 1].encode()]
+        assert not t or got == library.encode(t)
+        assert n > 1 or len(t) < 400
     # pieces of a long text come out before its end
     blocks = iter(["abcdefgh" * 8] * 50)
     stream = encoder.stream(blocks)
@@ -109,6 +121,15 @@ def test_codec_equals_the_library_and_streams():
     assert sum(1 for _ in blocks) > 40
 
 
+def test_codec_decodes_tables(spark):
+    path = sentencepiece_codec.model_path()
+    d = odd_rows(spark).where("doc_id <> 5")
+    ids = sentencepiece_codec.encode(d, path)
+    assert ids.where("not round_trip").count() == 0
+    back = sentencepiece_codec.decode(ids.withColumnRenamed("text", "was"), path)
+    assert back.where("not (text <=> was)").count() == 0 and back.count() == d.count()
+
+
 def test_lm_scores_equal_a_plain_model(spark):
     rows = [(1, "abab abab", True), (2, "zzzz", False), (3, "ab", True), (4, "é", False)]
     d = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
@@ -145,12 +166,12 @@ def test_cover_tree_finds_exactly_the_pairs(spark):
     want = unit @ unit.T >= 0.9
     np.fill_diagonal(want, False)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    old = cover_tree.BLOCK
+    old = cover_tree.BLOCK, cover_tree.FAN, cover_tree.PART
     try:
-        cover_tree.BLOCK = 100
+        cover_tree.BLOCK, cover_tree.FAN, cover_tree.PART = 100, 5, 150
         got = {g.vec_id: g for g in cover_tree.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)).collect()}
     finally:
-        cover_tree.BLOCK = old
+        cover_tree.BLOCK, cover_tree.FAN, cover_tree.PART = old
     assert [got[i].n_links for i in range(len(x))] == want.sum(1).tolist()
     label = np.arange(len(x))
     cover_tree._unite(label, *np.nonzero(want))
@@ -159,6 +180,31 @@ def test_cover_tree_finds_exactly_the_pairs(spark):
     assert all(got[i].kept == (got[i].component_id == i) for i in got)
 
 
+def test_cover_tree_prunes_pairs_of_cells_and_keeps_widths_apart(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(12, 8))
+    x = [(i, (centres[i % 12] + 0.05 * r.normal(size=8)).tolist()) for i in range(1200)]
+    x += [(5000 + i, (centres[0][:3] + 0.05 * r.normal(size=3)).tolist()) for i in range(300)] + [(9000 + i, [1.0, 1.0, 1.0, 1.0]) for i in range(250)]
+    d = spark.createDataFrame(x, "vec_id long, embedding array<double>")
+    old = cover_tree.BLOCK
+    try:
+        cover_tree.BLOCK = 60
+        placed = spark.createDataFrame([(str(i), str(len(v)), (np.array(v) / np.linalg.norm(v)).tobytes()) for i, v in x], "row string, cell string, x binary")
+        cells, levels = cover_tree._tree(placed, 0.447)
+        leaves = sum(n.where("leaf").count() for n in levels)
+        assert cells.count() == len(x) and leaves > 20
+        assert cover_tree._cell_pairs(levels, 0.447).count() < 0.4 * leaves * (leaves + 1) / 2
+        got = {g.vec_id: g for g in cover_tree.link(d).collect()}
+    finally:
+        cover_tree.BLOCK = old
+    for width in {len(v) for _, v in x}:
+        own = [i for i, v in x if len(v) == width]
+        u = np.array([v for _, v in x if len(v) == width])
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        want = (u @ u.T >= 0.9).sum(1) - 1
+        assert [got[i].n_links for i in own] == want.tolist() and {got[i].component_id for i in own} <= set(own)
+
+
 def test_cover_tree_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, [1.0, 0.0]), (1, [2.0, 0.0]), (None, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0, 0.0]), (9, [1e308, 1e308]), (10, [1e-300, 1e-300]), (11, [0.0, 1.0])]
@@ -416,6 +462,51 @@ def test_pii_adds_secrets_and_leaves_clean_text(spark):
     assert [got[i] for i in (3, 4, 5)] == ["", "", ""]
 
 
+def test_pii_keeps_what_stands_beside_base_spans(spark):
+    text = "call 4111 1111 1111 1111 (555) 123-4567 now"
+    got = pii.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.spans == "card:5:24,number:26:39" and got.n_card == 1
+    base = spark.createDataFrame([(1, "ip", 10, 20, True), (1, "phone", 18, 24, True), (2, "ip", 0, 5, True)], "row long, kind string, start long, end long, base boolean")
+    added = [(1, "number", 5, 30, "a" * 25, 1.0), (1, "secret", 28, 33, "b" * 5, 2.0), (1, "secret", 40, 44, "cccc", 1.0), (2, "number", 1, 4, "123", 1.0)]
+    got = pii._beside(base, spark.createDataFrame(added, "row long, kind string, start long, end long, hit string, score double")).collect()
+    assert sorted(tuple(x) for x in got) == [(1, "secret", 5, 10), (1, "secret", 24, 33), (1, "secret", 40, 44)]
+
+
+def test_pii_recall_and_precision_in_texts_like_the_documents(spark):
+    """Spans of each added kind are put into clean documents; what is found elsewhere is wrong."""
+    from lodestone.llm.tables import read
+
+    r = random.Random(81)
+    hexa, letters = "0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    word = lambda: pick("abcdefghijklmnop", r.randint(4, 8))
+    make = {
+        "secret": [lambda: f'token = "{pick(hexa, 40)}"', lambda: f"api key: {pick(letters, 32)}", lambda: f"secret {pick(hexa, 32)}"],
+        "number": [lambda: f"ssn: {pick('0123456789', 3)}-{pick('0123456789', 2)}-{pick('0123456789', 4)}", lambda: f"phone: {pick('23456789', 3)}-{pick('0123456789', 3)}-{pick('0123456789', 4)}"],
+        "address": [lambda: f"mail {word()} [at] {word()} [dot] org", lambda: f"write to {word()} (at) {word()} dot com"],
+        "ipv6": [lambda: "host " + ":".join(pick(hexa, 4) for _ in range(8))],
+    }
+    clean = [x.text for x in read(spark, "/root/testdata/sf0.01", "documents").where("text is not null and not rlike(text, '[0-9@+#*|]') and length(text) between 200 and 6000").orderBy("doc_id").collect()]
+    rows, want = [], {}
+    for i, t in enumerate(clean[:320]):
+        kind = [*make, None][i % 5]
+        if kind:
+            cut, said = t.index(" ", len(t) // 2), r.choice(make[kind])()
+            t = f"{t[:cut]} {said}{t[cut:]}"
+            want[i] = (kind, cut + 1, cut + 1 + len(said))
+        rows.append((i, t))
+    got = {x.doc_id: [s.split(":") for s in x.spans.split(",") if s] for x in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, total, wrong = Counter(), Counter(), 0
+    for i, _ in rows:
+        kind, a, b = want.get(i, (None, 0, 0))
+        total[kind] += 1
+        inside = [s for s in got[i] if a <= int(s[1]) and int(s[2]) <= b and kind]
+        hit[kind] += bool(inside)
+        wrong += len(got[i]) - len(inside)
+    print({k: (hit[k], total[k]) for k in make}, "wrong", wrong)
+    assert all(hit[k] >= 0.9 * total[k] for k in make) and wrong <= 0.02 * len(rows)
+
+
 def test_boosted_trees_learn_and_agree_with_their_sql(spark):
     r = np.random.default_rng(1)
     x = r.integers(0, 10, (800, 3)).astype(float)
@@ -456,6 +547,8 @@ def test_mixed_text_gets_spans(spark):
     got = {x.doc_id: x for x in language_id.label(d, language_id.train(d.union(d).union(d))).collect()}
     assert [s.lang for s in got[3].spans] == ["en", "ru"] and got[3].spans[1].start == len(en) + 1 and got[3].lang_pred == "en"
     assert (got[4].lang_pred, got[4].score) == ("en", 0.0) and (got[5].lang_pred, got[5].spans) == ("und", [])
+    signs = language_id.label(spark.createDataFrame([(1, "½ ² Ⅷ 12")], "doc_id long, text string"), language_id.train(d))
+    assert signs.first().lang_pred == "und"  # numbers that are no letters
 
 
 @pytest.mark.parametrize("weights", [None, {"a": 5, "b": 3, "c": 2}, {"a": 1, "b": 0, "c": float("nan")}])
