@@ -8,13 +8,14 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from . import commands
+from . import __version__, commands
 from .contracts import TARGET
 from .errors import Refusal
 
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lodestone")
+    p.add_argument("--version", action="version", version=f"lodestone {__version__}")
     sub = p.add_subparsers(dest="command", required=True)
     i = sub.add_parser("inspect")
     i.add_argument("source")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import tempfile
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -22,7 +23,7 @@ from .sources.filetree import copy, scan
 
 def _text(doc: dict[str, Any]) -> str:
     lines = [f"{doc['source']}: {doc['status']}"]
-    for a in doc["artifacts"]:
+    for a in doc["input_inventory"]:
         lines.append(f"  {a['path']}  {a['source_kind']}  version {a['detected_version']}" + (f"  ({a['note']})" if a["note"] else ""))
     return "\n".join(lines)
 
@@ -33,7 +34,7 @@ def inspect(spark: SparkSession, source: str, form: str = "json", report: str |
     with policy.guarded(spark, source):
         found = detect(source)
     known = any(a.kind != "unknown" for a in found)
-    doc = {"source": source, "status": "recognised" if known else "unsupported_input", "artifacts": [contracts.inventory(a) for a in found]}
+    doc = contracts.inspection(source, found, "success" if known else "unsupported_input")
     contracts.write(report, doc)
     print(json.dumps(doc, indent=2, sort_keys=True) if form == "json" else _text(doc))
     return OK if known else REFUSED_INPUT
@@ -92,7 +93,7 @@ def lower(spark: SparkSession, source: str, how: str, main: Artifact, found: lis
         if not broken and manifest is not None and (other := lowering.disagreement(rows, manifest)):
             raise Unsupported(f"the run manifest and the predictions differ in: {', '.join(other)}", SHAPE)
     if broken := lowering.violations_of(out.records):
-        raise Unsupported("; ".join(broken), SHAPE)
+        raise Unsupported("; ".join(lowering.told(broken)), SHAPE, rules=list(broken))
     return out
 
 
@@ -112,7 +113,7 @@ def _keep(spark: SparkSession, source: str, output: str, items: list[Artifact],
         doc["checksums"] |= files
         doc["preserved_opaque"].append({"path": rel, "source_kind": a.kind, "checksum": digest})
         doc["unsupported"].append(_entry(a, why, "preserved"))
-        doc["output_inventory"].append({"path": rel, "kind": "preserved", "files": len(files)})
+        doc["output_inventory"].append(contracts.output_entry(rel, {"files": len(files)}))
 
 
 def _sha(text: str) -> str:
@@ -146,18 +147,17 @@ def migrate(
         if dry_run:
             return _dry(spark, source, found, how, main, doc, paths)
         policy.require_available(output, resume)
-        made, stage = not os.path.exists(output), f"{os.path.normpath(output)}.partial"
-        shutil.rmtree(stage, ignore_errors=True)
-        os.makedirs(stage)
+        made, parent = not os.path.exists(output), os.path.dirname(os.path.abspath(output))
+        os.makedirs(parent, exist_ok=True)
+        stage = tempfile.mkdtemp(prefix=".lodestone-", dir=parent)  # a new folder of its own, on the output's file system
         try:
             code, rep = _run(spark, source, stage, found, how, main, doc, strict, copy_only)
             rep["target_summary"]["path"] = output
+            if rep["recommended_next_command"]:
+                rep["recommended_next_command"] = f"lodestone verify {output} --manifest {paths['manifest']}"
             doc["tool"]["completed_at"] = contracts.now()
-            for name in os.listdir(stage):  # the documents are written last, into the output itself
-                os.makedirs(output, exist_ok=True)
-                if os.path.isdir(os.path.join(output, name)):
-                    shutil.rmtree(os.path.join(output, name))
-                os.replace(os.path.join(stage, name), os.path.join(output, name))
+            _forget_previous(output)
+            _move(stage, output)  # the documents are written last, into the output itself
             failed = None
             if verify_after:
                 rep["verification_summary"] = checks.summary(spark, output, doc, list(contracts.NAMES.values()))
@@ -175,17 +175,41 @@ def migrate(
             shutil.rmtree(stage, ignore_errors=True)
 
 
+def _forget_previous(output: str) -> None:
+    """Removes the files that the manifest of an earlier, resumed run lists in output, and nothing else."""
+    try:
+        with open(os.path.join(output, contracts.NAMES["manifest"]), encoding="utf-8") as f:
+            listed = list(json.load(f)["checksums"])
+    except (OSError, ValueError, KeyError, TypeError):
+        return
+    top = os.path.realpath(output)
+    for rel in listed:
+        path = os.path.realpath(os.path.join(top, rel))
+        if path.startswith(top + os.sep) and os.path.isfile(path):
+            os.remove(path)
+
+
+def _move(stage: str, output: str) -> None:
+    """Moves the files below stage to the same places below output."""
+    for top, _, files in os.walk(stage):
+        to = os.path.normpath(os.path.join(output, os.path.relpath(top, stage)))
+        os.makedirs(to, exist_ok=True)
+        for name in files:
+            os.replace(os.path.join(top, name), os.path.join(to, name))
+
+
 def _dry(spark: SparkSession, source: str, found: list[Artifact], how: str, main: Artifact | None, doc: dict, paths: dict) -> int:
     why, lowered = None, [] if main is None else [a for a in found if a is main or how == "run"]
     if main is not None:
         try:
             lowered_rows = lower(spark, source, how, main, found)
             if how == "store" and (broken := lowering.violations_of(lowered_rows.records)):
-                doc["warnings"] += broken
+                doc["warnings"] += lowering.told(broken)
         except Unsupported as e:
             why, lowered = e, []
     doc["unsupported"] = [_entry(a, why, "would_preserve") for a in found if a not in lowered and a.kind in PRESERVABLE]
-    rep = contracts.report("migrated_with_warnings" if doc["unsupported"] else "success", None, doc["source"]["kinds"])
+    rep = contracts.report("migrated_with_warnings" if doc["unsupported"] else "success", None, doc["source"]["kinds"], found)
+    rep["recommended_next_command"] = f"lodestone migrate {source} --output OUTPUT"
     rep["unsupported_counts"]["preserved"] = len(doc["unsupported"])
     for k, payload in (("manifest", doc), ("report", rep), ("unsupported", contracts.unsupported_report(doc, rep))):
         contracts.write(paths[k], payload)
@@ -198,24 +222,23 @@ def _run(spark: SparkSession, source: str, output: str, found: list[Artifact], h
         files = copy(scan(spark, source), source, output, "payload").collect()
         doc["checksums"] = {r.rel_path: r.sha256 for r in files}
         doc["target"]["kind"] = "copy-only"
-        return OK, contracts.report("success", None, doc["source"]["kinds"])
+        doc["output_inventory"] = [contracts.output_entry("payload", {"files": len(files)})]
+        return OK, contracts.report("success", None, doc["source"]["kinds"], found)
     lowered, why, arrays = lowering.Lowered(), None, 0
     if main is not None:
         try:
             lowered = lower(spark, source, how, main, found)
         except Unsupported as e:
-            if strict or any("not_finite" in str(e) for _ in [0]) and how in ("loose", "native"):
+            if strict or "not_finite" in e.rules and how in ("loose", "native"):
                 raise
             why, main = e, None
     kept = [a for a in found if a is not main and not (how == "run" and main is not None) and (a.kind in PRESERVABLE)]
     if strict and kept:
         raise Unsupported("strict: " + ", ".join(f"{a.path} ({a.kind})" for a in kept) + " cannot be lowered", CAPABILITY)
     counts = store.create(spark, output, lowered.tables)
-    inside = {f"{store.STORE}/{t}.parquet": None for t in counts} | {f"{store.STORE}/version.json": None}
-    from .sources.filetree import hash_file
-
-    doc["checksums"] = {p: hash_file(os.path.join(output, p)) for p in inside}
-    doc["output_inventory"] = [{"path": store.STORE, "kind": "store", "row_counts": counts}]
+    written = scan(spark, os.path.join(output, store.STORE)).where("kind = 'file'").select("rel_path", "sha256").collect()
+    doc["checksums"] = {f"{store.STORE}/{r.rel_path}": r.sha256 for r in written}
+    doc["output_inventory"] = [contracts.store_entry(store.STORE, counts)]
     if lowered.records is not None:
         try:
             digests, listed = store.write_arrays(lowered.records, output)
@@ -232,7 +255,9 @@ def _run(spark: SparkSession, source: str, output: str, found: list[Artifact], h
             doc["checksums"] |= store.write_lines(lowering.preserved_lines(lowering.legacy_rows(spark, os.path.join(source, main.path))), output, rel)
     _keep(spark, source, output, kept + ([a for a in found if how == "run" and main is not None] if how == "run" else []), doc, why)
     incomplete = bool(kept) or why is not None
-    rep = contracts.report("migrated_with_warnings" if incomplete else "success", None, doc["source"]["kinds"])
+    rep = contracts.report("migrated_with_warnings" if incomplete else "success", None, doc["source"]["kinds"], found)
+    rep["preserved_counts"]["n4a"] = sum(u["source_kind"] in ("n4a-bundle", "n4a-py-bundle") for u in doc["preserved_opaque"])
+    rep["recommended_next_command"] = "verify"  # migrate() fills in the paths
     rep["migrated_counts"] |= {k: n for k, n in counts.items() if k in rep["migrated_counts"]} | {"arrays": arrays}
     rep["unsupported_counts"]["preserved"] = sum(u["disposition"] == "preserved" for u in doc["unsupported"])
     return WARNINGS if incomplete else OK, rep

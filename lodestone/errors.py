@@ -13,9 +13,10 @@ class Refusal(Exception):
 
     code, name = 1, "error"
 
-    def __init__(self, message: str, cause: str | None = None, mitigation: str | None = None) -> None:
+    def __init__(self, message: str, cause: str | None = None, mitigation: str | None = None, rules: list[str] | None = None) -> None:
         super().__init__(message)
         self.cause, self.mitigation = cause, mitigation
+        self.rules = rules or []  # names of the row rules that were broken
 
 
 class Unsupported(Refusal):

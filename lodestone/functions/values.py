@@ -43,10 +43,10 @@ def file_name(text: Column) -> Column:
 
 
 def version(text: Column) -> Column:
-    """The leading numeric parts of a dotted version as an array, which compares part by part."""
+    """The leading numeric parts of a dotted version as an array, which compares part by part; parts beyond 38 digits count as the largest."""
     parts = F.split(text, r"\.")
     bad = F.array_position(F.transform(parts, lambda p: ~p.rlike("^[0-9]+$")), F.lit(True))
-    return F.transform(F.slice(parts, 1, F.when(bad == 0, F.size(parts)).otherwise(bad - 1).cast("int")), lambda p: p.cast("int"))
+    return F.transform(F.slice(parts, 1, F.when(bad == 0, F.size(parts)).otherwise(bad - 1).cast("int")), lambda p: F.coalesce(p.try_cast("decimal(38,0)"), F.lit("9" * 38).cast("decimal(38,0)")))
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -102,11 +102,38 @@ def blank_cell(cell: Column) -> Column:
     return cell.isNull() | F.trim(cell).isin("", "null")
 
 
+#: Levels of nesting that are told apart in shapes; deeper cells are not decoded.
+MAX_DEPTH = 8
+
+
+def quoted_nonfinite(text: Column) -> Column:
+    """JSON text whose bare NaN and infinities are texts, so that they can be read as such."""
+    return F.regexp_replace(text, r'(?<![\w"-])(-?(?:NaN|Infinity))(?![\w"])', '"$1"')
+
+
+def _flat_items(cell: Column) -> Column:
+    """The scalars of a JSON array cell of any depth, as texts; null where it is not JSON or no array."""
+    cell = quoted_nonfinite(cell)
+    outer = F.from_json(cell, "array<string>")
+    # brackets outside of strings fall away, and what is left is a flat list
+    bare = F.regexp_replace(cell, r'("(?:[^"\\]|\\.)*")|[\[\]\s]', "$1")
+    bare = F.btrim(F.regexp_replace(bare, ",+", ","), F.lit(","))
+    items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
+    nested = F.regexp_replace(cell, r"\s", "").startswith("[[")
+    return F.when(outer.isNotNull(), F.when(nested, items).otherwise(outer))
+
+
+def number(x: Column, kind: str = "double") -> Column:
+    """A scalar's text as a number: digits in strings and Booleans count too; null for anything else, null items included."""
+    t = F.trim(x)
+    word = F.when(F.lower(t).isin("nan", "+nan", "-nan"), "NaN").when(F.lower(t).isin("inf", "+inf", "infinity", "+infinity"), "Infinity").when(F.lower(t).isin("-inf", "-infinity"), "-Infinity")
+    value = F.when(t.isin("true", "false"), t.isin("true").cast("int").cast("double")).otherwise(F.coalesce(word, F.when(t.rlike("[0-9][dDfF]$"), None).otherwise(t)).try_cast("double"))
+    return value if kind == "double" else value.cast(kind)
+
+
 def decode_array(cell: Column, kind: str = "double") -> Column:
-    """A JSON array cell, of one or two levels, flattened; null for blank cells and for cells that are not such arrays."""
-    flat = F.from_json(cell, f"array<{kind}>")
-    nested = F.from_json(cell, f"array<array<{kind}>>")
-    return F.when(~blank_cell(cell), F.coalesce(F.flatten(nested), flat))
+    """A JSON array cell of any depth, flattened; null for blank cells and for cells that are no arrays."""
+    return F.when(~blank_cell(cell), F.transform(_flat_items(cell), lambda x: number(x, kind)))
 
 
 def decode_failed(cell: Column, decoded: Column) -> Column:
@@ -115,17 +142,20 @@ def decode_failed(cell: Column, decoded: Column) -> Column:
 
 
 def array_shape(cell: Column) -> Column:
-    """Sizes along the first elements of a JSON array cell; null for blank cells."""
-    nested = F.from_json(cell, "array<array<double>>")
-    flat = F.from_json(cell, "array<double>")
-    two = F.when(F.size(nested) > 0, F.array(F.size(nested), F.size(F.get(nested, 0)))).otherwise(F.array(F.lit(0)))
-    return F.when(~blank_cell(cell), F.coalesce(F.when(nested.isNotNull() & F.get(nested, 0).isNotNull(), two), F.array(F.size(flat))))
+    """Sizes along the first elements of a JSON array cell, up to MAX_DEPTH levels; null for blank cells."""
+    sizes, at = [], cell
+    for _ in range(MAX_DEPTH):
+        level = F.when(F.ltrim(at).startswith("["), F.from_json(at, "array<string>"))
+        sizes.append(F.size(level))
+        at = F.get(level, 0)
+    # size() of null is null here: levels that are not there fall away
+    return F.when(~blank_cell(cell), F.array_compact(F.array(*(F.when(s >= 0, s) for s in sizes))))
 
 
 def ragged(cell: Column) -> Column:
-    """Whether a two-level array's rows differ in size."""
-    nested = F.from_json(cell, "array<array<double>>")
-    return F.coalesce(F.size(F.array_distinct(F.transform(nested, lambda r: F.size(r)))) > 1, F.lit(False))
+    """Whether a cell's items are not as many as its shape says."""
+    product = F.aggregate(array_shape(cell), F.lit(1).cast("long"), lambda a, n: a * n)
+    return F.coalesce(product != F.size(_flat_items(cell)), F.lit(False))
 
 
 def null_if_empty(items: Column) -> Column:

@@ -49,8 +49,13 @@ def default_columns(table: str, now: str) -> dict[str, Column]:
     return {c: F.lit(now if d == "now" else d) for c, d in DEFAULTS[table].items()}
 
 
-def violations_of(records: DataFrame) -> list[str]:
-    return [f"{r[0]} in {r[1]} record(s)" for r in records.where("violation is not null").groupBy("violation").count().orderBy("violation").collect()]
+def violations_of(records: DataFrame) -> dict[str, int]:
+    """How many records break each rule; a row for each rule."""
+    return {r[0]: r[1] for r in records.where("violation is not null").groupBy("violation").count().orderBy("violation").collect()}
+
+
+def told(broken: dict[str, int]) -> list[str]:
+    return [f"{rule} in {n} record(s)" for rule, n in broken.items()]
 
 
 # ---- SQLite store with JSON arrays ------------------------------------------------------------------------------------
@@ -121,7 +126,7 @@ def lower_store(spark: SparkSession, path: str, now: str) -> Lowered:
 
 _LOOSE = T.StructType(
     [T.StructField(c, T.StringType()) for c in LOOSE_REQUIRED[:10]]
-    + [T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("sample_indices", "y_true", "y_pred", "y_proba", "weights")]
+    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("sample_indices", "y_true", "y_pred", "y_proba", "weights")]
     + [T.StructField(c, T.DoubleType()) for c in ("val_score", "test_score", "train_score")]
     + [T.StructField("preprocessing", T.ArrayType(T.StringType()))]
 )
@@ -129,46 +134,56 @@ _LOOSE = T.StructType(
 
 def loose_rows(files: DataFrame) -> DataFrame:
     """One validated row for each (prediction_file, text): the record's fields, scores as JSON, and violation."""
-    rows = files.select("prediction_file", "text", F.from_json("text", _LOOSE).alias("r"), F.expr("try_parse_json(text)").alias("j"), F.json_object_keys("text").alias("keys"))
+    rows = files.select("prediction_file", "text", F.from_json(v.quoted_nonfinite(F.col("text")), _LOOSE).alias("r"), F.expr("try_parse_json(text)").alias("j"), F.json_object_keys("text").alias("keys"))
     kind = lambda c: F.expr(f"schema_of_variant(try_variant_get(j, '$.{c}', 'variant'))")
     texts, arrays = LOOSE_REQUIRED[:10], ("sample_indices", "y_true", "y_pred")
     r = F.col("r")
-    lists = {c: r[c] for c in ("sample_indices", "y_true", "y_pred", "y_proba", "weights")}
+    # items may be texts and Booleans that are numbers; lists within lists are not
+    lists = {c: F.transform(r[c], lambda x: v.number(x)) for c in ("sample_indices", "y_true", "y_pred", "y_proba", "weights")}
     violation = first_violation(
         not_finite=v.nonfinite_field(**lists, scores=F.array(r["val_score"], r["test_score"], r["train_score"])).isNotNull(),
         not_an_object=F.col("keys").isNull(),  # keys are null for bare NaN too, so that rule comes first
         field_missing=F.size(F.array_except(F.array(*map(F.lit, LOOSE_REQUIRED)), "keys")) > 0,
         not_readable=F.col("j").isNull(),
         text_empty_or_of_other_type=F.exists(F.array(*(F.coalesce((kind(c) != "STRING") | (r[c] == ""), F.lit(True)) for c in texts)), lambda x: x),
-        array_empty_or_of_other_type=F.exists(F.array(*(F.coalesce(F.size(r[c]) == 0, F.lit(True)) | F.exists(r[c], lambda x: x.isNull()) for c in arrays)), lambda x: x),
-        optional_array_of_other_type=F.exists(F.array(*(F.coalesce(~kind(c).isin("VOID") & r[c].isNull(), F.lit(False)) for c in ("y_proba", "weights"))), lambda x: x),
+        array_empty_or_of_other_type=F.exists(F.array(*(F.coalesce(F.size(r[c]) == 0, F.lit(True)) | F.exists(lists[c], lambda x: x.isNull()) for c in arrays)), lambda x: x),
+        optional_array_of_other_type=F.exists(F.array(*(F.coalesce(~kind(c).isin("VOID") & (r[c].isNull() | F.exists(lists[c], lambda x: x.isNull())), F.lit(False)) for c in ("y_proba", "weights"))), lambda x: x),
         score_of_other_type=F.exists(F.array(*(F.coalesce(~kind(c).isin("VOID") & r[c].isNull(), F.lit(False)) for c in ("val_score", "test_score", "train_score"))), lambda x: x),
         lengths_differ=~v.lengths_agree(lists["sample_indices"], lists["y_true"], lists["y_pred"], v.null_if_empty(lists["weights"])),
         index_out_of_range=_beyond_int(lists["sample_indices"]),
     )
     scores = F.when(kind("scores").startswith("OBJECT"), v.canonical_text(F.get_json_object("text", "$.scores"))).otherwise(F.lit("{}"))
     out = rows.withColumn("violation", violation).withColumn("scores", scores)
-    return out.select("prediction_file", "r.*", "scores", "violation").withColumn("preprocessing", F.coalesce("preprocessing", F.array().cast("array<string>")))
+    plain = [r[f.name].alias(f.name) for f in _LOOSE if f.name not in lists]
+    return out.select("prediction_file", *plain, *(x.alias(c) for c, x in lists.items()), "scores", "violation").withColumn("preprocessing", F.coalesce("preprocessing", F.array().cast("array<string>")))
 
 
 def lower_loose(rows: DataFrame, now: str) -> Lowered:
-    """Rows of loose_rows(), one or many, as store tables and records. Runs and pipelines that several share are kept once."""
+    """Rows of loose_rows(), one or many, as store tables and records.
+
+    Runs, pipelines and chains that several share are kept once, as the first file by name has them. A prediction_id that
+    several records have is a violation of all but that of the first file.
+    """
+    number = F.row_number().over(Window.partitionBy("prediction_id").orderBy(F.col("violation").isNotNull(), "prediction_file"))
+    again = F.col("violation").isNull() & (number > 1)
+    rows = rows.withColumn("violation", F.when(again, F.lit("prediction_id_repeated")).otherwise(F.col("violation")))
     good = rows.where("violation is null")
     chain = v.stable_id("chain", *(F.col(c) for c in ("run_id", "pipeline_id", "model_class", "model_name")))
     config = F.concat(F.lit('{"prediction_file":'), F.to_json(F.array("prediction_file")).substr(F.lit(2), F.char_length(F.to_json(F.array("prediction_file"))) - 2), F.lit(',"source_kind":"loose-predictions"}'))
     base = good.withColumn("chain_id", chain).withColumn("config", config).withColumnRenamed("dataset", "dataset_name")
     done = F.lit("completed")
-    runs = base.select("run_id", F.concat(F.lit("loose-predictions "), "run_id").alias("name"), "config", F.to_json(F.array("dataset_name")).alias("datasets"), done.alias("status"), F.lit('{"loose_predictions_preview_version":1}').alias("summary"))
-    pipelines = base.select("pipeline_id", "run_id", F.col("pipeline_id").alias("name"), F.col("config").alias("expanded_config"), F.lit("[]").alias("generator_choices"), "dataset_name", done.alias("status"), F.col("val_score").alias("best_val"), F.col("test_score").alias("best_test"), "metric")
+    runs = base.select("prediction_file", "run_id", F.concat(F.lit("loose-predictions "), "run_id").alias("name"), "config", F.to_json(F.array("dataset_name")).alias("datasets"), done.alias("status"), F.lit('{"loose_predictions_preview_version":1}').alias("summary"))
+    pipelines = base.select("prediction_file", "pipeline_id", "run_id", F.col("pipeline_id").alias("name"), F.col("config").alias("expanded_config"), F.lit("[]").alias("generator_choices"), "dataset_name", done.alias("status"), F.col("val_score").alias("best_val"), F.col("test_score").alias("best_test"), "metric")
     steps = F.to_json(F.concat("preprocessing", F.array("model_class")))
-    chains = base.select("chain_id", "pipeline_id", steps.alias("steps"), F.size("preprocessing").alias("model_step_idx"), "model_class", F.array_join("preprocessing", ", ").alias("preprocessings"), "model_name", "metric", "task_type", "dataset_name")
+    chains = base.select("prediction_file", "chain_id", "pipeline_id", steps.alias("steps"), F.size("preprocessing").alias("model_step_idx"), "model_class", F.array_join("preprocessing", ", ").alias("preprocessings"), "model_name", "metric", "task_type", "dataset_name")
     scope = [F.lit("loose-predictions").alias("prediction_scope"), F.lit("prediction-row").alias("prediction_level")]
     predictions = base.select(
-        "prediction_id", "pipeline_id", "chain_id", "dataset_name", "model_name", "model_class", "fold_id", "partition", "val_score", "test_score", "train_score", "metric", "task_type",
+        "prediction_file", "prediction_id", "pipeline_id", "chain_id", "dataset_name", "model_name", "model_class", "fold_id", "partition", "val_score", "test_score", "train_score", "metric", "task_type",
         F.size("sample_indices").alias("n_samples"), "scores", *scope,
     )
     made = {"runs": (runs, "run_id"), "pipelines": (pipelines, "pipeline_id"), "chains": (chains, "chain_id"), "predictions": (predictions, "prediction_id")}
-    tables = {t: project_onto(df.dropDuplicates([key]), TABLES[t], default_columns(t, now)) for t, (df, key) in made.items()}
+    once = lambda df, key: df.groupBy(key).agg(F.min(F.struct("prediction_file", *(c for c in df.columns if c not in (key, "prediction_file")))).alias("x")).select(key, "x.*")
+    tables = {t: project_onto(once(df, key), TABLES[t], default_columns(t, now)) for t, (df, key) in made.items()}
     records = rows.select(
         "prediction_id", F.col("dataset").alias("dataset_name"), "model_name", "fold_id", "partition", "metric", "val_score", "task_type", "y_true", "y_pred",
         v.null_if_empty(F.col("y_proba")).alias("y_proba"), F.when(F.size("y_proba") > 0, F.array(F.size("y_proba"))).alias("y_proba_shape"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import json
 import os
 import shutil
@@ -20,20 +21,26 @@ from .relational import key_violations, orphan_references, with_children
 STORE, ARRAYS, PRESERVED = "store", "arrays", "preserved"
 
 
-def write_one(df: DataFrame, target: str, form: str = "parquet") -> None:
-    """df as the single file target; for tables whose size is one file's."""
+_ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
+
+
+def write_table(df: DataFrame, target: str) -> None:
+    """df as a folder of Parquet files, one for each partition, without the marks that Spark leaves beside them."""
+    df.write.options(**_ZSTD).parquet(target)
+    for name in os.listdir(target):
+        if not name.startswith("part-"):
+            os.remove(os.path.join(target, name))
+
+
+def write_text(lines: DataFrame, target: str) -> None:
+    """The one text column of lines as the single file target, in order of the partitions, which are written by tasks."""
     temp = f"{target}._parts"
-    writer = df.coalesce(1).write
-    if form == "parquet":
-        writer.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3").parquet(temp)
-    else:
-        writer.text(temp)
-    part = glob.glob(f"{temp}/part-*")
+    lines.write.text(temp)
     os.makedirs(os.path.dirname(target), exist_ok=True)
-    if part:
-        os.replace(part[0], target)
-    else:
-        open(target, "w").close()
+    with open(target, "wb") as out:
+        for part in sorted(glob.glob(f"{glob.escape(temp)}/part-*")):
+            with open(part, "rb") as f:
+                shutil.copyfileobj(f, out)
     shutil.rmtree(temp)
 
 
@@ -43,7 +50,7 @@ def create(spark: SparkSession, output: str, tables: dict[str, DataFrame] | None
         df = (tables or {}).get(name)
         if df is None:
             df = spark.createDataFrame([], schema)
-        write_one(df, os.path.join(output, STORE, f"{name}.parquet"))
+        write_table(df, os.path.join(output, STORE, f"{name}.parquet"))
     with open(os.path.join(output, STORE, "version.json"), "w", encoding="utf-8") as f:
         json.dump({"user_version": USER_VERSION}, f)
     return counts(load(spark, output))
@@ -58,10 +65,13 @@ def load(spark: SparkSession, output: str) -> dict[str, DataFrame]:
     return found
 
 
+def count_rows(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, n): rows of each table, counted in one job."""
+    return reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(t).alias("name"), "n") for t, df in tables.items()))
+
+
 def counts(tables: dict[str, DataFrame]) -> dict[str, int]:
-    """Rows of each table, counted in one job."""
-    rows = reduce(DataFrame.unionByName, (df.agg(F.count("*").alias("n")).select(F.lit(t).alias("t"), "n") for t, df in tables.items()))
-    return {r.t: r.n for r in rows.collect()}
+    return {r.name: r.n for r in count_rows(tables).collect()}
 
 
 def chain_summary(tables: dict[str, DataFrame]) -> DataFrame:
@@ -88,20 +98,25 @@ def record_digests(records: DataFrame) -> DataFrame:
 
 
 def write_arrays(records: DataFrame, output: str) -> tuple[dict[str, str], list[dict]]:
-    """Sidecars, one file for each file name that datasets come to; returns digests by file and by record, and an inventory."""
+    """Sidecars, one file for each file name that datasets come to; returns digests by file and by record, and an inventory.
+
+    Files are grouped by a digest of the name, as Spark would escape names in its folders.
+    """
     bad = records.where("violation is not null").select("violation").limit(1).collect()
     if bad:
         raise Unsupported(f"array records break a rule: {bad[0][0]}", SHAPE)
     rows = records.select(*SIDECAR.names, v.file_name(F.col("dataset_name")).alias("dataset_file")).persist()
     temp = os.path.join(output, "._arrays")
-    rows.repartition("dataset_file").sortWithinPartitions("dataset_file", "prediction_id").write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "3").partitionBy("dataset_file").parquet(temp)
+    dealt = rows.withColumn("file_key", F.sha2("dataset_file", 256)).drop("dataset_file").repartition("file_key").sortWithinPartitions("file_key", "prediction_id")
+    dealt.write.options(**_ZSTD).option("maxRecordsPerFile", 0).partitionBy("file_key").parquet(temp)
     digests, inventory = {}, []
     for name, n in sorted((r[0], r[1]) for r in rows.groupBy("dataset_file").count().collect()):
         rel = f"{ARRAYS}/{name}.parquet"
         os.makedirs(os.path.join(output, ARRAYS), exist_ok=True)
-        os.replace(glob.glob(os.path.join(glob.escape(os.path.join(temp, f"dataset_file={name}")), "part-*"))[0], os.path.join(output, rel))
+        (part,) = glob.glob(os.path.join(glob.escape(temp), f"file_key={hashlib.sha256(name.encode()).hexdigest()}", "part-*"))
+        os.replace(part, os.path.join(output, rel))
         digests[rel] = hash_file(os.path.join(output, rel))
-        inventory.append({"path": rel, "kind": "array-sidecar", "rows": n})
+        inventory.append({"path": rel, "tables": {"arrays": SIDECAR.names}, "row_counts": {"arrays": n}, "generated_manifests": []})
     shutil.rmtree(temp, ignore_errors=True)
     digests |= {f"arrays:{r[0]}": r[1] for r in record_digests(rows).toLocalIterator()}
     rows.unpersist()
@@ -110,5 +125,5 @@ def write_arrays(records: DataFrame, output: str) -> tuple[dict[str, str], list[
 
 def write_lines(lines: DataFrame, output: str, rel: str) -> dict[str, str]:
     """The audit lines in order of prediction_id as one file; returns its digest."""
-    write_one(lines.orderBy("prediction_id").select("value"), os.path.join(output, rel), "text")
+    write_text(lines.orderBy("prediction_id").select("value"), os.path.join(output, rel))
     return {rel: hash_file(os.path.join(output, rel))}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,9 +28,12 @@ def ledger(spark: SparkSession, checksums: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, str(d), k.startswith(ROWS)) for k, d in checksums.items()], "key string, digest string, is_row boolean")
 
 
-def preserved_coverage(preserved: DataFrame, files: DataFrame, expected: int) -> dict[str, Any]:
-    """Checks preserved (seq, path, checksum) against files (key, digest): a path is a file's, or a folder's whose files'
-    digests, as a canonical JSON map, have that checksum. Folders are matched through each file's ancestors, by equality."""
+def preserved_findings(preserved: DataFrame, files: DataFrame) -> DataFrame:
+    """(finding, path, seq): what is wrong with preserved (seq, path, checksum), held against files (key, digest).
+
+    A path is a file's, or a folder's whose files' digests, as a canonical JSON map, have that checksum. Folders are matched
+    through each file's ancestors, by equality.
+    """
     bad = preserved.where("path is null or path = '' or checksum is null or checksum = ''")
     good = preserved.join(bad.select("seq"), "seq", "left_anti").withColumn("n", F.row_number().over(_by_path()))
     again, once = good.where("n > 1"), good.where("n = 1")
@@ -40,14 +44,16 @@ def preserved_coverage(preserved: DataFrame, files: DataFrame, expected: int) ->
     folders = folders.select("path", v.digest(v.canonical_map(F.col("m"))).alias("actual"))
     actual = files.select(F.col("key").alias("path"), F.col("digest").alias("of_file")).join(folders, "path", "full_outer").select("path", F.coalesce("of_file", "actual").alias("actual"))
     held = once.join(actual, "path", "left")
-    out = {
-        "missing_opaque_payloads": max(0, expected - preserved.count()),
-        "missing_checksums": _list(held.where("actual is null"), "path"),
-        "mismatched_payloads": _list(held.where("actual <> checksum"), "path"),
-        "duplicate_paths": _list(again, "path"),
-        "invalid_entries": [f"[{i}]" for i in sorted(r[0] for r in bad.select("seq").collect())],
-        "outside_preserved": _list(outside, "path"),
-    }
+    found = {"missing_checksums": held.where("actual is null"), "mismatched_payloads": held.where("actual <> checksum"), "duplicate_paths": again, "invalid_entries": bad, "outside_preserved": outside}
+    return reduce(DataFrame.union, (df.select(F.lit(k).alias("finding"), "path", "seq") for k, df in found.items()))
+
+
+def preserved_coverage(preserved: DataFrame, files: DataFrame, expected: int) -> dict[str, Any]:
+    """preserved_findings() by kind, and how many of the expected payloads are not listed."""
+    out: dict[str, Any] = {"missing_opaque_payloads": max(0, expected - preserved.count())}
+    out |= {k: [] for k in ("missing_checksums", "mismatched_payloads", "duplicate_paths", "invalid_entries", "outside_preserved")}
+    for r in preserved_findings(preserved, files).orderBy("path", "seq").collect():
+        out[r.finding].append(f"[{r.seq}]" if r.finding == "invalid_entries" else r.path)
     return _rated(out)
 
 
@@ -62,6 +68,21 @@ def _rated(check: dict[str, Any]) -> dict[str, Any]:
     return {"status": "failed" if n else "passed", "failure_count": n, **check}
 
 
+def array_findings(expected: DataFrame, actual: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """(finding, prediction_id): record digests (prediction_id, digest) held against the expected ones and the store's ids."""
+    on = ["prediction_id"]
+    once = actual.where("prediction_id is not null").dropDuplicates(on)
+    found = {
+        "missing_rows": missing(expected, once, on),
+        "missing_row_checksums": missing(once, expected, on),
+        "mismatched_rows": mismatched(expected, once, on, "digest"),
+        "duplicate_rows": actual.groupBy(*on).count().where("prediction_id is not null and count > 1"),
+    }
+    if stored is not None:
+        found["orphan_rows"] = missing(once, stored, on)
+    return reduce(DataFrame.union, (df.select(F.lit(k).alias("finding"), *on) for k, df in found.items()))
+
+
 def array_coverage(spark: SparkSession, output: str, book: DataFrame, stored: DataFrame | None) -> dict[str, Any]:
     """Checks the sidecars' records against the ledger's row digests and the store's prediction ids."""
     expected = book.where("is_row").select(F.expr(f"substring(key, {len(ROWS) + 1})").alias("prediction_id"), "digest")
@@ -71,15 +92,10 @@ def array_coverage(spark: SparkSession, output: str, book: DataFrame, stored: Da
         return {"status": "not_applicable", "failure_count": 0}
     records = spark.read.schema(SIDECAR).parquet(*there) if there else spark.createDataFrame([], SIDECAR)
     actual = store.record_digests(records).persist()
-    once = actual.where("prediction_id is not null").dropDuplicates(["prediction_id"])
-    out = {
-        "missing_rows": _list(missing(expected, once, ["prediction_id"]), "prediction_id"),
-        "missing_row_checksums": _list(missing(once, expected, ["prediction_id"]), "prediction_id"),
-        "mismatched_rows": _list(mismatched(expected, once, ["prediction_id"], "digest"), "prediction_id"),
-        "orphan_rows": _list(missing(once, stored, ["prediction_id"]), "prediction_id") if stored is not None else [],
-        "duplicate_rows": _list(actual.groupBy("prediction_id").count().where("prediction_id is not null and count > 1"), "prediction_id"),
-        "rows_without_id": actual.where("prediction_id is null").count(),
-    }
+    out: dict[str, Any] = {k: [] for k in ("missing_rows", "missing_row_checksums", "mismatched_rows", "orphan_rows", "duplicate_rows")}
+    for r in array_findings(expected, actual, stored).orderBy("prediction_id").collect():
+        out[r.finding].append(r.prediction_id)
+    out["rows_without_id"] = actual.where("prediction_id is null").count()
     actual.unpersist()
     return _rated(out)
 

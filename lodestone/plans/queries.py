@@ -9,12 +9,16 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as v
+from ..operators import lowering, store, verify
 from ..operators import relational as rel
+from ..operators.detect import detect_tree, kinds
+from ..schemas import ENGINE, NATIVE
+from ..schemas import TABLES as TABLES_OF_STORE
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,10 +154,11 @@ def array_shape(t: Tables) -> DataFrame:
     return t.embeddings.select("vec_id", v.sample_count(F.col("embedding"), shape).cast("long").alias("n"), F.array_max("embedding").cast("double").alias("m"))
 
 
-@query("select vec_id, i::int pos, embedding[i + 1]::double item from embeddings, range(3) t(i)")
+@query("select vec_id, generate_subscripts(embedding, 1)::int - 1 pos, unnest(embedding) item from embeddings")
 def array_flatten_explode(t: Tables) -> DataFrame:
-    nested = F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 1))
-    return t.embeddings.select("vec_id", F.posexplode(F.flatten(nested)).alias("pos", "item")).withColumn("item", F.col("item").cast("double"))
+    part = lambda a, n: F.slice("embedding", a, n)
+    cell = F.to_json(F.array(F.array(part(1, 8), part(9, 8)), F.array(F.slice("embedding", 17, 1 << 30))))
+    return t.embeddings.select("vec_id", F.posexplode(v.decode_array(cell)).alias("pos", "item")).withColumn("item", F.col("item").cast("float"))
 
 
 @query("select conv_id, count(role) n, max(turn) + 1 m, count(role) = max(turn) + 1 agree from conversations group by 1")
@@ -195,7 +200,7 @@ def row_checksum(t: Tables) -> DataFrame:
 @query(r"select p_partkey, [regexp_extract(p_brand, '(\d+)', 1)::int, p_size] > [10, 25] forward from part")
 def version_compare(t: Tables) -> DataFrame:
     text = F.concat_ws(".", F.regexp_extract("p_brand", r"(\d+)", 1), F.col("p_size").cast("string"), F.lit("x"))
-    return t.part.select("p_partkey", (v.version(text) > F.array(F.lit(10), F.lit(25))).alias("forward"))
+    return t.part.select("p_partkey", (v.version(text) > F.array(F.lit(10), F.lit(25)).cast("array<decimal(38,0)>")).alias("forward"))
 
 
 @query("select d.doc_id, coalesce(nullif(case when quality = 1 then '' else quality::varchar end, ''), nullif(source, ''), 'none') said from documents d left join labels l using (doc_id)")
@@ -250,17 +255,186 @@ def first_row_of_group(t: Tables) -> DataFrame:
     return rel.first_by(t.documents, ["lang"], "doc_id", ["doc_id", "source", "n_chars"])
 
 
-@query("""select k, arg_max(d, p) digest from (select doc_id k, sha256(text) d, 1 p from documents where doc_id % 2 = 0
-  union all select doc_id, sha256(lower(text)), 2 from documents where doc_id % 3 = 0) group by 1""")
+@query("""select k, arg_max(d, p) digest from (select doc_id k, sha256(text) d, 1 p from documents
+  union all select doc_id, sha256(quality || ':' || toxic), 2 from labels) group by 1""")
 def ledger_union(t: Tables) -> DataFrame:
-    one = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("d"), F.lit(1).alias("p"))
-    two = t.documents.where("doc_id % 3 = 0").select(F.col("doc_id").alias("k"), F.sha2(F.lower("text"), 256).alias("d"), F.lit(2).alias("p"))
+    one = t.documents.select(F.col("doc_id").alias("k"), F.sha2("text", 256).alias("d"), F.lit(1).alias("p"))
+    two = t.labels.select(F.col("doc_id").alias("k"), F.sha2(F.concat_ws(":", F.col("quality").cast("string"), F.col("toxic").cast("string")), 256).alias("d"), F.lit(2).alias("p"))
     return one.unionByName(two).groupBy("k").agg(F.max_by("d", "p").alias("digest"))
 
 
-@query("select vec_id, '[' || array_to_string(list_transform(embedding[1:2], lambda x: (round(x::double, 3) + 0.0)::varchar), ',') || ']' cell, 2::bigint n, false as bad from embeddings")
+@query("select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: (round(x::double, 3) + 0.0)::varchar), ',') || ']' cell, len(embedding) n, false as bad from embeddings")
 def array_cell_roundtrip(t: Tables) -> DataFrame:
-    cell = F.concat(F.lit("["), F.array_join(F.transform(F.slice("embedding", 1, 2), lambda x: F.round(x.cast("double"), 3).cast("decimal(10,3)").cast("double").cast("string")), ","), F.lit("]"))
+    cell = F.concat(F.lit("["), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 3).cast("decimal(10,3)").cast("double").cast("string")), ","), F.lit("]"))
     rows = t.embeddings.select("vec_id", v.canonical_text(cell).alias("cell"))
     found = v.decode_array(F.col("cell"))
     return rows.select("vec_id", "cell", F.size(found).cast("long").alias("n"), v.decode_failed(F.col("cell"), found).alias("bad"))
+
+
+# ---- the operators of detection, lowering and checks, on sources made of the driver's tables ------------------------------
+
+_TREE = """select 'root-' || doc_id // 10 root, case doc_id % 10 when 0 then 'store.duckdb' when 1 then 'store.sqlite' when 2 then 'runs/r' || doc_id || '/run_manifest.yaml'
+  when 3 then 'runs/r/' || doc_id || '/manifest.yaml' when 4 then doc_id || '_predictions.json' when 5 then doc_id || '.n4a' when 6 then doc_id || '.n4a.py'
+  when 7 then 'native/manifest.json' when 8 then 'native/score_set.json' else 'native/predictions.parquet' end rel_path from documents"""
+
+
+@query(f"""select root, path, kind source_kind, string_agg(rel_path, ',' order by rel_path) files from (select root, rel_path,
+  case when rel_path like 'runs/%' then 'runs' when rel_path like '%\\_predictions.json' escape '\\' then '.' when rel_path like 'native/%' then 'native' else rel_path end path,
+  case when rel_path = 'store.duckdb' then 'duckdb-workspace' when rel_path = 'store.sqlite' then 'sqlite-workspace-v2' when rel_path like '%/run_manifest.yaml' then 'fs-runs-v2'
+  when rel_path like 'runs/%' then 'fs-runs-legacy' when rel_path like '%\\_predictions.json' escape '\\' then 'loose-predictions' when rel_path like '%.n4a' then 'n4a-bundle'
+  when rel_path like '%.n4a.py' then 'n4a-py-bundle' else 'native-results-v1' end kind from (select distinct * from ({_TREE}))) group by all having kind <> 'native-results-v1' or count(*) = 3""")
+def detected_artifacts(t: Tables) -> DataFrame:
+    n = F.col("doc_id").cast("string")
+    names = [
+        F.lit("store.duckdb"), F.lit("store.sqlite"), F.concat(F.lit("runs/r"), n, F.lit("/run_manifest.yaml")), F.concat(F.lit("runs/r/"), n, F.lit("/manifest.yaml")),
+        F.concat(n, F.lit("_predictions.json")), F.concat(n, F.lit(".n4a")), F.concat(n, F.lit(".n4a.py")), F.lit("native/manifest.json"), F.lit("native/score_set.json"), F.lit("native/predictions.parquet"),
+    ]
+    tree = t.documents.select(F.concat(F.lit("root-"), F.expr("doc_id div 10").cast("string")).alias("root"), F.get(F.array(*names), (F.col("doc_id") % 10).cast("int")).alias("rel_path"))
+    return detect_tree(tree).select("root", "path", "source_kind", F.array_join("files", ",").alias("files"))
+
+
+def _cells(t: Tables) -> DataFrame:
+    """Array rows of the embeddings as JSON cells: some are short by one, some hold NaN, some are no arrays."""
+    cell = F.to_json("embedding")
+    pred = F.when(F.col("vec_id") % 7 == 0, F.to_json(F.slice("embedding", 2, 1 << 30))).when(F.col("vec_id") % 11 == 0, F.regexp_replace(cell, r"\[[^,]+", "[NaN")).when(F.col("vec_id") % 13 == 0, F.lit("{}")).otherwise(cell)
+    proba = F.to_json(F.array(F.slice("embedding", 1, 2), F.slice("embedding", 3, 2)))
+    return t.embeddings.select(
+        F.concat(F.lit("p"), F.col("vec_id").cast("string")).alias("prediction_id"), F.concat(F.lit("set/"), F.col("label").cast("string")).alias("dataset_name"),
+        cell.alias("y_true"), pred.alias("y_pred"), proba.alias("y_proba"), F.lit(None).cast("string").alias("weights"),
+    )
+
+
+@query("""select 'p' || vec_id prediction_id, 'set/' || label dataset_name, len(embedding) n_true, 4::bigint n_proba, '2,2' proba_shape,
+  case when vec_id % 7 = 0 then 'lengths_differ' when vec_id % 11 = 0 then 'not_finite' when vec_id % 13 = 0 then 'array_not_decoded' end violation from embeddings""")
+def array_records(t: Tables) -> DataFrame:
+    found = lowering.array_records(_cells(t))
+    shape = F.array_join(F.col("y_proba_shape").cast("array<string>"), ",")
+    return found.select("prediction_id", "dataset_name", F.size("y_true").cast("long").alias("n_true"), F.size("y_proba").cast("long").alias("n_proba"), shape.alias("proba_shape"), "violation")
+
+
+def _loose_files(t: Tables) -> DataFrame:
+    """A loose record for each order: some lack a field, have an empty one, differ in lengths, or are no objects."""
+    n = F.col("o_orderkey")
+    text = {c: F.concat(F.lit(f"{c[0]}-"), F.col(k).cast("string")) for c, k in (("run_id", "o_custkey"), ("pipeline_id", "o_orderkey"), ("prediction_id", "o_orderkey"))}
+    fixed = {"dataset": F.col("o_orderpriority"), "model_name": F.lit("m"), "model_class": F.when(n % 5 == 0, F.lit("")).otherwise(F.lit("M")), "fold_id": F.lit("0"), "partition": F.col("o_orderstatus"), "metric": F.lit("rmse"), "task_type": F.lit("regression")}
+    arrays = {"sample_indices": F.array(F.lit(1), F.lit(2)), "y_true": F.array(F.lit("1.5"), F.lit("2")), "y_pred": F.when(n % 7 == 0, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(2.5)))}
+    extra = {"val_score": F.col("o_totalprice"), "preprocessing": F.array(F.lit("snv"), F.lit("scale"))}
+    record = F.to_json(F.struct(*(c.alias(k) for k, c in (text | fixed | arrays | extra).items())))
+    record = F.when(n % 11 == 0, F.lit("[1]")).when(n % 3 == 0, F.regexp_replace(record, '"fold_id":"0",', "")).otherwise(record)
+    return t.orders.select(F.concat(n.cast("string"), F.lit("_predictions.json")).alias("prediction_file"), record.alias("text"))
+
+
+_LOOSE = "case when o_orderkey % 11 = 0 then 'not_an_object' when o_orderkey % 3 = 0 then 'field_missing' when o_orderkey % 5 = 0 then 'text_empty_or_of_other_type' when o_orderkey % 7 = 0 then 'lengths_differ' end"
+
+
+@query(f"select o_orderkey || '_predictions.json' prediction_file, case when {_LOOSE} = 'not_an_object' then null else 'r-' || o_custkey end run_id, {_LOOSE} violation from orders")
+def loose_records(t: Tables) -> DataFrame:
+    return lowering.loose_rows(_loose_files(t)).select("prediction_file", "run_id", "violation")
+
+
+@query(f"""select 'chain-' || sha256('["r-' || o_custkey || '","p-' || o_orderkey || '","M","m"]')[1:24] chain_id, 'p-' || o_orderkey pipeline_id, '["snv","scale","M"]' steps, 2::bigint model_step_idx, 'snv, scale' preprocessings,
+  o_orderpriority dataset_name, 'per_fold' fold_strategy from orders where {_LOOSE} is null""")
+def loose_chains(t: Tables) -> DataFrame:
+    chains = lowering.lower_loose(lowering.loose_rows(_loose_files(t)), "now").tables["chains"]
+    return chains.select("chain_id", "pipeline_id", "steps", "model_step_idx", "preprocessings", "dataset_name", "fold_strategy")
+
+
+@query(f"select 'r-' || o_custkey run_id, 'loose-predictions r-' || o_custkey as name, 'completed' status from orders where {_LOOSE} is null group by all")
+def loose_runs(t: Tables) -> DataFrame:
+    return lowering.lower_loose(lowering.loose_rows(_loose_files(t)), "now").tables["runs"].select("run_id", "name", "status")
+
+
+def _native(t: Tables) -> lowering.Lowered:
+    """Native results of the line items: a dataset for each flag, a configuration for each line number."""
+    numbers, reals = F.array().cast("array<bigint>"), F.array().cast("array<double>")
+    text = {"dataset": F.col("l_returnflag"), "config_name": F.concat(F.lit("c"), F.col("l_linenumber").cast("string")), "model_name": F.lit("m"), "partition": F.col("l_linestatus"), "fold_id": F.col("l_orderkey").cast("string"), "refit_context": F.lit("")}
+    columns = text | {
+        "sample_indices": F.array("l_partkey", "l_suppkey"), "y_true": F.array("l_quantity", "l_tax"), "y_pred": F.array("l_quantity", "l_discount"), "y_proba": reals, "weights": reals, "y_proba_shape": numbers,
+        "y_true_shape": F.when(F.col("l_linenumber") == 7, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(2))), "y_pred_shape": F.array(F.lit(2)), "arrays_present": F.col("l_linenumber") != 6, "val_score": F.col("l_extendedprice"),
+    }
+    order = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
+    rows = t.lineitem.withColumn("_row", F.row_number().over(order) * 10 + F.col("l_linenumber"))
+    rows = rows.select("_row", *(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NATIVE))
+    return lowering.lower_native(rows, {"run_id": "run", "engine": ENGINE, "schema_version": 3, "metric": "rmse", "task_type": ["regression"], "score_set_hash": "0"}, "now")
+
+
+_ROWS = "(select *, row_number() over (partition by l_linenumber order by l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, l_shipdate) * 10 + l_linenumber as r from lineitem)"
+
+
+@query(f"""select 'prediction-' || sha256('["run",' || r || ',"' || l_returnflag || '","c' || l_linenumber || '","m","' || l_linestatus || '","' || l_orderkey || '",""]')[1:24] prediction_id,
+  'pipeline-' || sha256('["run","' || l_returnflag || '","c' || l_linenumber || '"]')[1:24] pipeline_id, l_returnflag dataset_name, 2::bigint n_samples, 'rmse' metric, 'regression' task_type, l_extendedprice val_score from {_ROWS}""")
+def native_predictions(t: Tables) -> DataFrame:
+    return _native(t).tables["predictions"].select("prediction_id", "pipeline_id", "dataset_name", "n_samples", "metric", "task_type", "val_score")
+
+
+@query(f"""select 'pipeline-' || sha256('["run","' || l_returnflag || '","c' || l_linenumber || '"]')[1:24] pipeline_id, 'c' || l_linenumber as name, arg_min(l_extendedprice, r) best_val from {_ROWS} group by l_returnflag, l_linenumber""")
+def native_pipelines(t: Tables) -> DataFrame:
+    return _native(t).tables["pipelines"].select("pipeline_id", "name", "best_val")
+
+
+@query("select case when l_linenumber = 7 then 'rank_above_one' end violation, l_returnflag dataset_name, count(*) n, sum(case when l_linenumber = 7 then 0 else 2 end)::bigint n_indices from lineitem where l_linenumber <> 6 group by 1, 2")
+def native_records(t: Tables) -> DataFrame:
+    records = _native(t).records
+    return records.groupBy("violation", "dataset_name").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.array_size("sample_indices"), F.lit(0))).cast("long").alias("n_indices"))
+
+
+def _store(t: Tables) -> dict[str, DataFrame]:
+    """Store tables of orders and line items; references to customers that are not there, and repeated keys, stay in."""
+    runs = t.customer.where("c_acctbal >= 0").select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("run_id"), F.col("c_name").alias("name"))
+    pipelines = t.orders.select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("pipeline_id"), F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("run_id"), F.lit("x").alias("name"), F.col("o_orderpriority").alias("dataset_name"), F.col("o_orderstatus").alias("status"))
+    chains = t.lineitem.select(F.concat_ws("-", F.lit("c"), "l_orderkey", "l_linenumber").alias("chain_id"), F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("pipeline_id"), F.lit("[]").alias("steps"), F.col("l_linenumber").alias("model_step_idx"), F.col("l_shipmode" if "l_shipmode" in t.lineitem.columns else "l_returnflag").alias("model_class"))
+    made = {"runs": runs, "pipelines": pipelines, "chains": chains.dropDuplicates(["chain_id"])}
+    spark = t.spark
+    return {name: rel.project_onto(made[name], schema, lowering.default_columns(name, "now")) if name in made else spark.createDataFrame([], schema) for name, schema in TABLES_OF_STORE.items()}
+
+
+@query("""select rule, n from (select 'pipelines: no runs of its run_id' as rule, count(*) n from orders left join (select * from customer where c_acctbal >= 0) on c_custkey = o_custkey where c_custkey is null
+  union all select 'chains: no pipelines of its pipeline_id', count(*) from (select distinct l_orderkey, l_linenumber from lineitem) where l_orderkey not in (select o_orderkey from orders)) where n > 0""")
+def store_violations(t: Tables) -> DataFrame:
+    return store.violations(_store(t))
+
+
+@query("select 'pipelines' as name, count(*) n from orders union all select 'runs', count(*) from customer where c_acctbal >= 0 union all select 'chains', count(distinct (l_orderkey, l_linenumber)) from lineitem union all select x, 0 from (values ('projects'), ('predictions'), ('artifacts'), ('logs')) v(x)")
+def store_counts(t: Tables) -> DataFrame:
+    return store.count_rows(_store(t))
+
+
+def _ledger(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(preserved, files): a folder of documents for each source, some entries repeated, outside or with another checksum."""
+    key = F.concat_ws("/", F.lit("preserved/kind"), "source", F.col("doc_id").cast("string"))
+    files = t.documents.select(key.alias("key"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("digest"))
+    folders = t.documents.groupBy("source").agg(F.min("doc_id").alias("seq"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("k"), F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("d"))))).alias("m"))
+    path = F.concat(F.lit("preserved/kind/"), F.col("source"))
+    right = v.digest(v.canonical_map(F.col("m")))
+    checksum = F.when(F.col("source").endswith("3"), F.lit("sha256:0")).otherwise(right)
+    good = folders.select("seq", F.when(F.col("source").endswith("5"), F.concat(F.lit("elsewhere/"), F.col("source"))).otherwise(path).alias("path"), checksum.alias("checksum"))
+    again = folders.where(F.col("source").endswith("7")).select((F.col("seq") + 1_000_000_000).alias("seq"), path.alias("path"), right.alias("checksum"))
+    none = folders.where(F.col("source").endswith("9")).select((F.col("seq") + 2_000_000_000).alias("seq"), F.concat(path, F.lit("-none")).alias("path"), right.alias("checksum"))
+    return good.union(again).union(none), files
+
+
+@query("""select distinct case right(source, 1) when '3' then 'mismatched_payloads' when '5' then 'outside_preserved' when '7' then 'duplicate_paths' else 'missing_checksums' end finding,
+  case right(source, 1) when '5' then 'elsewhere/' || source when '9' then 'preserved/kind/' || source || '-none' else 'preserved/kind/' || source end path from documents where right(source, 1) in ('3', '5', '7', '9')""")
+def preserved_findings(t: Tables) -> DataFrame:
+    return verify.preserved_findings(*_ledger(t)).select("finding", "path")
+
+
+@query("""select 'missing_rows' finding, 'p' || doc_id prediction_id from labels where doc_id not in (select vec_id from embeddings)
+  union all select 'missing_row_checksums', 'p' || vec_id from embeddings where vec_id not in (select doc_id from labels)
+  union all select 'mismatched_rows', 'p' || vec_id from embeddings join labels on doc_id = vec_id where label <> quality
+  union all select 'orphan_rows', 'p' || vec_id from embeddings where vec_id not in (select doc_id from documents)""")
+def array_findings(t: Tables) -> DataFrame:
+    name = lambda c: F.concat(F.lit("p"), F.col(c).cast("string")).alias("prediction_id")
+    expected = t.labels.select(name("doc_id"), F.col("quality").cast("string").alias("digest"))
+    actual = t.embeddings.select(name("vec_id"), F.col("label").cast("string").alias("digest"))
+    return verify.array_findings(expected, actual, t.documents.select(name("doc_id")))
+
+
+@query("""select event_id, '{"k":' || (props->>'$.k') || '}' as text from events""")
+def canonical_texts(t: Tables) -> DataFrame:
+    return t.events.select("event_id", v.canonical_text(F.concat(F.lit(" "), "props", F.lit(" "))).alias("text"))
+
+
+@query("select kind source_kind, min(event_id)::bigint seq, arg_max(version, event_id) detected_version from (select event_id, event_type kind, user_id::varchar as version from events) group by 1")
+def kinds_seen(t: Tables) -> DataFrame:
+    return kinds(t.events.select(F.col("event_type").alias("source_kind"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("detected_version")))

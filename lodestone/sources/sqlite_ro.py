@@ -65,12 +65,17 @@ class _Reader(DataSourceReader):
             return [_Range(None, None)]
         con = connect(self.o["path"])
         try:
-            low, high = con.execute(f"select min(rowid), max(rowid) from {quoted(self.o['table'])}").fetchone()
+            low, high, n = con.execute(f"select min(rowid), max(rowid), count(*) from {quoted(self.o['table'])}").fetchone()
         except sqlite3.Error:
             return [_Range(None, None)]
         finally:
             con.close()
-        return [_Range(i, i + step) for i in range(low, high + 1, step)] if low is not None else []
+        if low is None:
+            return []
+        # as many ranges as the rows ask for: rowids may lie far apart
+        parts = -(-n // step)
+        width = -(-(high - low + 1) // parts)
+        return [_Range(i, i + width) for i in range(low, high + 1, width)]
 
     def read(self, part: _Range) -> Iterator[tuple]:
         mode, path = self.o.get("mode", "table"), self.o["path"]

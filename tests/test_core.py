@@ -61,9 +61,9 @@ def test_loose_record(spark, tmp_path):
     code, doc = run(spark, sources.loose(tmp_path / "in"), tmp_path / "out", verify_after=True)
     tables = store.load(spark, str(tmp_path / "out"))
     chain = tables["chains"].first()
-    parts = json.dumps(["run-2024-legacy", "pipeline-pls", "PLSRegression", "PLSRegression"], separators=(",", ":"))
+    parts = json.dumps(["run-a1", "pipe-b2", "Ridge", "Ridge"], separators=(",", ":"))
     assert code == 0 and chain.chain_id == "chain-" + hashlib.sha256(parts.encode()).hexdigest()[:24]
-    assert chain.steps == '["snv","PLSRegression"]' and chain.model_step_idx == 1
+    assert chain.steps == '["detrend","Ridge"]' and chain.model_step_idx == 1
     prediction = tables["predictions"].first()
     assert prediction.scores == '{"a":{"é":2},"b":1.0}' and prediction.n_samples == 3
     assert tables["runs"].first().config == '{"prediction_file":"run_predictions.json","source_kind":"loose-predictions"}'
@@ -248,6 +248,89 @@ def test_array_cells(spark):
     got = [tuple(r) for r in df.select(d, v.array_shape(F.col("c")), v.decode_failed(F.col("c"), d)).collect()]
     assert got[:3] == [(None, None, False)] * 3 and got[3] == ([], [0], False) and got[4] == ([1.0, 2.5], [2], False) and got[5] == ([1.0, 2.0, 3.0, 4.0], [2, 2], False)
     assert got[6][2] and got[7][2]
+    deep = spark.createDataFrame([("[[[1,2],[3,4]],[[5,6],[7,8]]]",), ('["1.5",true]',), ("[[1,2],[3]]",)], "c string")
+    assert [tuple(r) for r in deep.select(v.decode_array(F.col("c")), v.array_shape(F.col("c")), v.ragged(F.col("c"))).collect()] == [([float(i) for i in range(1, 9)], [2, 2, 2], False), ([1.5, 1.0], [2], False), ([1.0, 2.0, 3.0], [2, 2], True)]
+
+
+def test_a_folder_beside_the_output_is_left_alone(spark, tmp_path):
+    src = sources.loose(tmp_path / "out.partial")
+    code, _ = run(spark, src, tmp_path / "out")
+    assert code == 0 and listing(str(src)) and sorted(os.listdir(tmp_path)) == ["out", "out.partial"]
+
+
+def test_resuming_removes_only_what_the_manifest_lists(spark, tmp_path):
+    src = sources.legacy_store(tmp_path / "in")
+    run(spark, src, tmp_path / "out")
+    (tmp_path / "out" / "store" / "notes.txt").write_text("mine")
+    code, doc = run(spark, src, tmp_path / "out", resume=True)
+    assert code == 0 and (tmp_path / "out" / "store" / "notes.txt").read_text() == "mine"
+    on_disk = {os.path.relpath(p, tmp_path / "out") for top, _, fs in os.walk(tmp_path / "out") for p in (os.path.join(top, f) for f in fs)}
+    assert on_disk == {k for k in doc["checksums"] if not k.startswith("arrays:")} | set(contracts.NAMES.values()) | {"store/notes.txt"}
+
+
+def test_sidecars_of_names_that_spark_escapes(spark, tmp_path):
+    names = ["lot#3", "50%", "corn=a", "it's", "a[1]", "ü b", "x{y}"]
+    rows = [(f"p{i}-{k}", n, "[1.0]", "[1.0]") for i, n in enumerate(names) for k in range(3)]
+    records = lowering.array_records(spark.createDataFrame(rows, "prediction_id string, dataset_name string, y_true string, y_pred string").repartition(5))
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", 1)
+    try:
+        digests, listed = store.write_arrays(records, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    assert len(listed) == len(names) and sum(k.startswith("arrays:") for k in digests) == len(rows)
+    for n in names:
+        assert spark.read.parquet(str(tmp_path / "arrays" / f"{n.replace(' ', '_')}.parquet").replace("[", "\\[").replace("{", "\\{").replace("}", "\\}")).count() == 3
+
+
+def test_versions_with_large_parts(spark):
+    rows = [tuple(r) for r in spark.createDataFrame([("3000000000.1.2",), ("1.x.2",), ("9" * 45,)], "c string").select(v.version(F.col("c"))).collect()]
+    assert [[int(p) for p in r[0]] for r in rows] == [[3000000000, 1, 2], [1], [10**38 - 1]]
+
+
+def test_far_rowids_make_few_partitions(spark, tmp_path):
+    import sqlite3
+
+    path = str(tmp_path / "x.sqlite")
+    con = sqlite3.connect(path)
+    con.execute("create table t (a integer)")
+    con.executemany("insert into t (rowid, a) values (?, ?)", [(1, 1), (2**60, 2)])
+    con.commit()
+    con.close()
+    df = sqlite_ro.load(spark, path, "t")
+    assert sorted(r.a for r in df.collect()) == [1, 2] and df.rdd.getNumPartitions() == 1
+
+
+def test_repeated_loose_prediction_is_a_violation(spark):
+    texts = [(f"{c}_predictions.json", json.dumps(sources.LOOSE)) for c in "ab"]
+    out = lowering.lower_loose(lowering.loose_rows(spark.createDataFrame(texts, "prediction_file string, text string")), "now")
+    assert lowering.violations_of(out.records) == {"prediction_id_repeated": 1} and out.tables["predictions"].count() == 1
+
+
+@pytest.mark.parametrize("change", [{"y_true": ["32.5", True, 1]}, {"weights": ["1", 2, 0.5]}])
+def test_castable_items_of_loose_records(spark, tmp_path, change):
+    code, _ = run(spark, sources.loose(tmp_path / "in", **change), tmp_path / "out", verify_after=True)
+    assert code == 0
+
+
+def test_contract_documents(spark, tmp_path, capsys):
+    ids = contracts.id_map()
+    assert ids["$id"].endswith("legacy_id_map.v1.json") and set(ids["entities"]) == set(contracts.ENTITIES) and not any(ids["entities"].values())
+    with pytest.raises(KeyError):
+        contracts.new("report", no_such_field=1)
+    src = sources.legacy_store(tmp_path / "in")
+    sources.bundle(src / "model.n4a")
+    run(spark, src, tmp_path / "out")
+    doc, rep, unsupported, written = (json.loads((tmp_path / "out" / contracts.NAMES[k]).read_text()) for k in ("manifest", "report", "unsupported", "id_map"))
+    assert written == ids and doc["tool"]["name"] == "lodestone" and doc["tool"]["completed_at"] and doc["environment"]["pyspark"]
+    assert doc["output_inventory"][0]["row_counts"]["predictions"] == 2 and doc["output_inventory"][0]["generated_manifests"] == sorted(contracts.NAMES.values())
+    assert rep["preserved_counts"]["n4a"] == 1 and rep["source_summary"]["bundles"] == 1 and rep["recommended_next_command"].startswith("lodestone verify ")
+    assert unsupported["counts"] == {"unsupported": 1, "preserved": 1, "refused": 0, "opaque_payloads": 1} and unsupported["source"] == doc["source"] and unsupported["target"]["path"] == str(tmp_path / "out")
+    assert main(["--version"], spark) == 0 and "lodestone" in capsys.readouterr().out
+
+
+def test_copy_only_has_an_inventory(spark, tmp_path):
+    _, doc = run(spark, sources.loose(tmp_path / "in"), tmp_path / "out", copy_only=True)
+    assert doc["output_inventory"] == [contracts.output_entry("payload", {"files": 1})]
 
 
 def test_core_queries_match_their_sql(same_as_sql):
