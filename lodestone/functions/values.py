@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,12 +73,13 @@ def canonical(value: object, ascii_only: bool) -> str:
 def canonical_json(*columns: Column, ascii_only: bool = True) -> Column:
     """Canonical JSON of a struct of columns, with numbers as Python writes them.
 
-    A row-wise UDF behind Arrow: to_json writes doubles in another form, and the text is hashed.
+    A UDF over Arrow batches: to_json writes doubles in another form, and the text is hashed.
     """
 
-    @F.udf("string", useArrow=True)
-    def write(row: object) -> str:
-        return canonical(row, ascii_only)
+    @F.arrow_udf("string")
+    def write(rows: pa.Array) -> pa.Array:
+        encode = json.JSONEncoder(sort_keys=True, separators=(",", ":"), ensure_ascii=ascii_only, allow_nan=False).encode
+        return pa.array([encode(r) for r in rows.to_pylist()], pa.string())
 
     return write(F.struct(*columns))
 
@@ -196,8 +198,8 @@ def ancestors(path: Column) -> Column:
 def canonical_map(entries: Column) -> Column:
     """Canonical JSON of a map of texts."""
 
-    @F.udf("string", useArrow=True)
-    def write(m: object) -> str:
-        return canonical(dict(m), True)
+    @F.arrow_udf("string")
+    def write(maps: pa.Array) -> pa.Array:
+        return pa.array([canonical(dict(m), True) for m in maps.to_pylist()], pa.string())
 
     return write(entries)
