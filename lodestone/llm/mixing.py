@@ -7,7 +7,8 @@ less than one block from its target. The schedule repeats after D slots: it is s
 slot is then arithmetic on its number, done by a join. When a source ends, a new phase begins with the weights of
 those that remain. No document is dropped or repeated: the result is an order.
 
-What the driver holds grows with the number of sources (phases x sources), not with documents.
+The schedule is made on the driver. What it holds grows with the number of sources (phases x sources), not with documents;
+more than MAX_SOURCES sources are refused: mix by a coarser column then, such as a group of hosts.
 
 Results for special rows: null sources are a source of their own; null doc_ids are ordinary ids; repeated rows each
 have a place; an empty table has no slots. Weights that are missing or not positive count as the least weight.
@@ -30,6 +31,7 @@ TEMPER = 0.5
 #: Weights are rounded to this many parts, or ten for each source if that is more.
 PARTS = 1000
 BROADCAST_SOURCES = 1000
+MAX_SOURCES = 500
 
 _PHASES = T.ArrayType(T.StructType([T.StructField(n, T.LongType()) for n in ("first", "end", "slot", "period")] + [T.StructField("offsets", T.ArrayType(T.LongType()))]))
 
@@ -108,7 +110,7 @@ def _ranked(docs: DataFrame, source: str, doc_id: str, ties: list[F.Column]) ->
     counts = counts.withColumn("__s_b", F.coalesce(F.sum("__s_n").over(before), F.lit(0)))
     within = Window.partitionBy(source, "__s_p").orderBy("__s_h", doc_id, *ties)
     ranked = keyed.withColumn("__s_r", F.row_number().over(within) - 1)
-    joined = ranked.join(small(counts, 200_000), F.col(source).eqNullSafe(F.col("__s_s")) & (F.col("__s_p") == F.col("__s_q")))
+    joined = ranked.join(small(written(counts, "ranges"), 200_000), F.col(source).eqNullSafe(F.col("__s_s")) & (F.col("__s_p") == F.col("__s_q")))
     return joined.withColumn("__s_i", F.col("__s_b") + F.col("__s_r")).drop("__s_h", "__s_p", "__s_s", "__s_q", "__s_n", "__s_b", "__s_r")
 
 
@@ -119,7 +121,9 @@ def slots(docs: DataFrame, weights: dict | None = None, source: str = "source",
     """
     spark = docs.sparkSession
     docs = docs.drop("block", "slot", "position")
-    sizes = docs.groupBy(source).count().collect()  # a row for each source
+    sizes = docs.groupBy(source).count().limit(MAX_SOURCES + 1).collect()  # a row for each source
+    if len(sizes) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources: mix by a coarser column")
     blocks = {r[0]: -(-r[1] // block) for r in sizes}
     weights = {k: n**TEMPER for k, n in blocks.items()} if weights is None else weights
     made = plan(blocks, weights)

@@ -158,7 +158,7 @@ def _band(sketch: DataFrame, by: list[str], level: int) -> DataFrame:
 
 def _judged(counts: DataFrame, table: DataFrame, lang: str, source: str, prefix: str = "") -> DataFrame:
     """counts with columns <prefix>base_failed and <prefix>kept."""
-    table = small(table, BROADCAST_GROUPS).select(*(F.col(c).alias(f"__b_{c}") for c in table.columns))
+    table = small(written(table, "bands"), BROADCAST_GROUPS).select(*(F.col(c).alias(f"__b_{c}") for c in table.columns))
     joined = counts.join(table, F.col(lang).eqNullSafe(F.col("__b_lang")) & F.col(source).eqNullSafe(F.col("__b_source")), "left")
     inside = F.lit(True)
     for m, v in measures(prefix).items():
@@ -178,7 +178,7 @@ def keep(docs: DataFrame, text: str = "text", lang: str = "lang", source: str =
     """The rows of docs that the rules keep, with their columns. Measures twice, so that no text is shuffled or stored."""
     p = "__q_"
     narrow = with_counts(docs.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")), "text", p).drop("text")
-    table = written(bands(narrow, prefix=p), "bands")
+    table = bands(narrow, prefix=p)
     return _judged(with_counts(docs, text, p), table, lang, source, p).where(f"{p}kept").select(*docs.columns)
 
 

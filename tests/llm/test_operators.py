@@ -573,6 +573,12 @@ def test_mixing_deviates_by_less_than_a_block(spark, weights):
             since, start = Counter(), t + 1
 
 
+def test_mixing_refuses_too_many_sources(spark):
+    d = spark.range(mixing.MAX_SOURCES + 1).selectExpr("id as doc_id", "cast(id as string) as source")
+    with pytest.raises(ValueError):
+        mixing.slots(d)
+
+
 def test_components(spark):
     r = random.Random(8)
     edges = [(i, i + 1) for i in range(100, 140)] + [(r.randrange(60), r.randrange(60)) for _ in range(25)] + [(7, 7), (None, 3)]
