@@ -212,7 +212,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     keys = Keys(docs)
     gone = removed(docs, keys)
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines")
+    breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(breaks + 1).cast("long").alias("n_lines")
     counted = docs.select("doc_id", n_lines, *([F.col("text")] if "h" in keys.names else []))
     out = _joined(counted, keys, gone)
     return out.select("doc_id", "n_lines", F.coalesce(F.size("__l_lines"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce(F.array_join("__l_lines", ","), F.lit("")).alias("removed"))

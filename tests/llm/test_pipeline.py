@@ -48,6 +48,22 @@ def test_last_stage_keeps_the_mixed_order_over_unequal_files(spark):
     assert [(x.doc_id, x.position) for x in got] == [tuple(x) for x in want]
 
 
+def test_stages_with_special_rows(spark):
+    r = random.Random(11)
+    text = lambda n: " ".join(f"w{r.randrange(9000)}" for _ in range(n))
+    same = text(40)
+    rows = [(1, same, "en", "a", 1, "x"), (1, same, "en", "a", 1, "x"), (2, None, None, None, None, None), (None, text(30), None, None, 3, ""), (3, "", "en", "a", 0, ""), (4, text(9000), "de", None, 5, ""), (5, same + " more", "en", "b", None, "")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, position string"
+    every = spark.createDataFrame(rows, schema)
+    for docs in (every, every.limit(0)):
+        got = docs
+        for _, stage in corpus_pipeline.STAGES:
+            got = written(stage(spark, got, SF), "test")
+        kept = got.collect()
+        assert Counter(x.doc_id for x in kept) == (Counter([1, None, 4, 5]) if docs is every else Counter())
+        assert "ids" in got.columns and dict(got.dtypes)["position"] == "bigint"
+
+
 def test_run_applies_all_stages(spark):
     got = corpus_pipeline.run(spark, SF)
     assert "ids" in got.columns and got.count() > 0
