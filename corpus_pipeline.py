@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns a DataFrame; all but the last
 return the columns of documents. Quality rules drop documents, line dedup cuts lines out of texts, the Jaccard join leaves one
-document of each group, mixing orders all documents by source weights (the order of rows in the files), and encoding adds ids and the position. Files are not
-read in order, so the last stage makes the order anew from the schedule, which depends on the rows only.
+document of each group, mixing orders all documents by source weights (the order of rows in the files), and encoding adds ids
+and the position. Files are not read in order, so the last stage makes the order anew from the schedule, which depends on the rows only.
+
+Special rows: documents with null or empty text fail the quality rules and go; a null lang or source is a group of its own; rows
+with a null doc_id stay, as nothing names them, whatever they resemble; of repeated rows one stays; an empty table gives an
+empty table in each stage; further columns of documents are carried on, and one named ids, n_ids, round_trip or position
+is replaced by the last stage's.
 """
 
 from __future__ import annotations
