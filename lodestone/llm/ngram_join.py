@@ -14,8 +14,8 @@ percent * union. Steps:
    connected already need no look: first every member is held against its group's leader, and a leader against the leader
    of the group that it shares most prefix shingles with. A group's members are then classed by component. So a large
    group of near copies costs work in proportion to its size.
-5. Groups are joined on the prefix shingles whose groups still fall into several components: a first round holds each class
-   against one other, by one member each; then all pairs of groups with classes of different components that sizes and
+5. Groups are joined on the prefix shingles whose groups still fall into several components: first, in ROUNDS rounds, each class
+   is held against one other, by one member each; then all pairs of groups with classes of different components that sizes and
    positions allow are expanded to the members of these classes, and those pairs of members that their 256-bit parity
    signatures do not rule out are verified on the whole sets. No link between components is missed.
 
@@ -41,7 +41,7 @@ from .tables import forget, partitions, read, small, written
 
 SAMPLE = 3
 #: Rounds in which groups of one shingle are held against one of them before all pairs across components are looked at.
-ROUNDS = 1
+ROUNDS = 3
 #: Up to so many survivors are broadcast for the join with documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -275,8 +275,8 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     side = lambda df, i, names: df.select(*([] if "token" not in df.columns else ["token"]), *(F.col(c).alias(f"{c}{i}") for c in names))
     pair = F.struct(F.least("key1", "key2").alias("x"), F.greatest("key1", "key2").alias("y")).alias("p")
 
+    comp = components(edges, "x", "y")
     for attempt in range(ROUNDS + 1):
-        comp = components(edges, "x", "y")
         # the classes of a group: its members by component; most groups have one
         placed = written(members.join(comp, F.col("key") == F.col("node"), "left").select("key", "gid", F.coalesce("component", "key").alias("comp"), *marks), "placed")
         classes = placed.groupBy("gid", "comp").agg(F.min(F.struct("key", *marks)).alias("r")).select("gid", "comp", "r.*")
@@ -298,12 +298,8 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
         cross = written(cross.select("p.*").distinct(), "cross")
         more = written(_verified(cross, reps, percent), "links")
         forget(placed, tokens, rest, cross)
-        if more.isEmpty():
-            if attempt == ROUNDS:
-                break
-            continue
-        edges = written(edges.union(more), "links")
-        if attempt == ROUNDS:
+        if not more.isEmpty():
+            edges = written(edges.union(more), "links")
             comp = components(edges, "x", "y")
     forget(found, groups, members)
     return comp
