@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cover_tree, language_id, line_dedup, lm_scoring, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup
+from . import chat_format, cover_tree, filter_audit, language_id, line_dedup, lm_scoring, merkle, mixing, ngram_join, pii, quality_rules, sentencepiece_codec, substring_dedup
 
 MODULES = {
     "op1_quality_rules": quality_rules,
@@ -19,6 +19,9 @@ MODULES = {
     "op8_pii": pii,
     "op9_language_id": language_id,
     "op10_mixing": mixing,
+    "op11_chat_format": chat_format,
+    "op12_merkle": merkle,
+    "op13_filter_audit": filter_audit,
 }
 
 
