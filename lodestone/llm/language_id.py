@@ -58,7 +58,26 @@ SCRIPTS = [
 ]
 # characters that count as alphanumeric but are neither letters nor decimal digits, such as fractions and Roman numerals
 _NUMERIC = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{re.escape(_NUMERIC)}]+")
+_RUN = re.compile(r"[^\W\d_]+")
+# slow, as it looks for each character among all of those: only for runs that hold one
+_LETTERS = re.compile(rf"[^\W\d_{re.escape(_NUMERIC)}]+")
+
+
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in order."""
+    runs = _RUN.findall(text)
+    if text.isascii() or all(map(str.isalpha, runs)):
+        return runs
+    return [w for run in runs for w in ([run] if run.isalpha() else _LETTERS.findall(run))]
+
+
+def spans_of(text: str) -> Iterator[tuple[int, int]]:
+    """Where words_of() are, as (start, end)."""
+    for m in _RUN.finditer(text):
+        if m[0].isalpha():
+            yield m.span()
+        else:
+            yield from ((m.start() + w.start(), m.start() + w.end()) for w in _LETTERS.finditer(m[0]))
 
 
 def script(c: str) -> str:
@@ -96,7 +115,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, lang in zip(batch.column(0), batch.column(1)):
             text, lang = text.as_py(), lang.as_py()
             if text is not None and lang is not None:
-                words.setdefault(lang, Counter()).update(_WORD.findall(text.lower()))
+                words.setdefault(lang, Counter()).update(words_of(text.lower()))
                 if sum(map(len, words.values())) > REMEMBERED:
                     fold()
                     if sum(map(len, total.values())) > REMEMBERED:
@@ -250,7 +269,7 @@ class Labeller:
         out: list[tuple[str, float, list[dict]]] = [("und", 0.0, [])] * len(texts)
         if not self.model.langs:
             return out
-        found = [(i, _WORD.findall(t)) for i, t in enumerate(texts) if t]
+        found = [(i, words_of(t)) for i, t in enumerate(texts) if t]
         rows = self._rows(list(itertools.chain.from_iterable(ws for _, ws in found)))
         langs, at, mixed = self.model.langs, 0, []
         for i, ws in found:
@@ -270,16 +289,16 @@ class Labeller:
             if known.all():
                 start, end = text.find(ws[0]), text.rfind(ws[-1]) + len(ws[-1])
             else:
-                ms = list(itertools.compress(_WORD.finditer(text), known))
-                start, end = ms[0].start(), ms[-1].end()
+                ms = list(itertools.compress(spans_of(text), known))
+                start, end = ms[0][0], ms[-1][1]
             out[i] = (langs[lead], 1.0, [{"start": start, "end": end, "lang": langs[lead]}])
         for (i, known, _), labels in zip(mixed, viterbi([s for *_, s in mixed]), strict=True):
-            ms = list(itertools.compress(_WORD.finditer(texts[i]), known))
-            size = np.array([m.end() - m.start() for m in ms])
+            ms = list(itertools.compress(spans_of(texts[i]), known))
+            size = np.array([end - start for start, end in ms])
             share = np.bincount(labels, weights=size, minlength=len(langs))
             lead = int(share.argmax())
             cut = [0, *(np.flatnonzero(np.diff(labels)) + 1), len(labels)]
-            spans = [{"start": ms[a].start(), "end": ms[b - 1].end(), "lang": langs[labels[a]]} for a, b in zip(cut, cut[1:])]
+            spans = [{"start": ms[a][0], "end": ms[b - 1][1], "lang": langs[labels[a]]} for a, b in zip(cut, cut[1:])]
             out[i] = (langs[lead], float(share[lead] / share.sum()), spans)
         return out
 

@@ -517,6 +517,18 @@ def test_boosted_trees_learn_and_agree_with_their_sql(spark):
     assert [q[0] for q in d.select(F.expr(trees.sql(["a", "b", "c"]))).collect()] == pytest.approx(trees.margin(x[:50]).tolist())
 
 
+def test_words_are_runs_of_letters_and_found_in_linear_time():
+    import time
+
+    r, letter = random.Random(1), lambda c: c.isalpha()
+    for _ in range(500):
+        t = "".join(r.choice("ab é½Ⅳ²漢_9字一٣\n") for _ in range(30))
+        want = [(i, j) for i in range(len(t)) for j in range(i + 1, len(t) + 1) if all(map(letter, t[i:j])) and not (i and letter(t[i - 1])) and not (j < len(t) and letter(t[j]))]
+        assert list(language_id.spans_of(t)) == want and language_id.words_of(t) == [t[i:j] for i, j in want]
+    began = time.process_time()
+    assert len(language_id.words_of("the quick brown fox " * 500_000)) == 2_000_000 and time.process_time() - began < 6
+
+
 def test_language_id_on_the_held_out_fold(spark):
     from lodestone.llm.tables import read
 
