@@ -1,8 +1,9 @@
 """Operator 8, personal data by candidate gradient boosting, in DataFrame functions only.
 
-Base spans are the valid matches of four formats. Besides, high-recall generators propose spans that may overlap: long
-tokens, groups of digits, loosely written addresses and colon-separated hexadecimal groups. Boosted trees score each
-proposal from its format and from words beside it; a threshold for each generator, calibrated on held-out samples for a
+Base spans are the valid matches of four formats. Besides, high-recall generators propose spans that overlap: long tokens, what
+is said to be a password, loosely written addresses, colon-separated hexadecimal groups, and of each run of digit groups the whole
+and all parts of up to GROUPS whole groups and MOST_DIGITS digits, so that a number is found beside others. Boosted trees score each
+proposal from its format and from what stands beside it; a threshold for each generator, calibrated on held-out samples for a
 precision of PRECISION, selects redactions. The trees are trained on SAMPLES made-up candidates from a fixed seed and
 are applied as one SQL expression, so texts never leave the JVM.
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import functools
 import random
+import re
 import string
 
 import numpy as np
@@ -31,9 +33,11 @@ from .tables import read, written
 SAMPLES = 6000
 PRECISION = 0.98
 BASE = ["email", "ip", "card", "phone"]
-ADDED = ["secret", "number", "address", "ipv6"]
+ADDED = ["secret", "number", "address", "ipv6", "password"]
 KINDS = [*BASE, *ADDED]
 CONTEXT = 24
+#: Parts of a run of digit groups that are proposed: groups, least and most digits.
+GROUPS, LEAST_DIGITS, MOST_DIGITS = 8, 7, 19
 
 # In the texts matched, \x02 stands for a dot between label characters (email) or a single separator between digits (card).
 _LOCAL = r"[A-Za-z0-9._%+\x02-]"
@@ -44,8 +48,9 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "secret": r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+",
     "number": r"(?<![0-9A-Za-z])[0-9][0-9 ()./-]{5,}[0-9]",
-    "address": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?: at [A-Za-z0-9-]+ dot [A-Za-z]{2,6}|(?:@| ?\[at\] ?| ?\(at\) ?)[A-Za-z0-9-]+(?: ?[\[(]?(?:dot|\.)[\])]? ?[A-Za-z]{2,6})?)",
+    "address": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++(?: at [A-Za-z0-9-]+ dot [A-Za-z]{2,6}|(?:@| ?[\[({<-]at[\])}>-] ?)[A-Za-z0-9-]+(?: ?[\[({<-]?(?:dot|\.)[\])}>-]? ?[A-Za-z]{2,6})?)",
     "ipv6": r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}:[0-9A-Fa-f:]{5,}",
+    "password": r"(?<=[:=\x20\"'])(?<=(?i:passwor[dt]|passwd|passphrase|pwd|pin code)[\"']?(?: is)?\x20{0,2}[:=]?\x20{0,2}[\"']?)[^\x00-\x20\"',;:=]{5,64}+",
 }
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -59,7 +64,7 @@ def _subject(kind: str) -> Column:
     return F.col("text")
 
 
-_MAY = {"email": "contains(text, '@')", "address": "(contains(text, '@') or contains(text, 'at'))", "secret": "true", "ipv6": "contains(text, ':')", "phone": "contains(text, '+')"}
+_MAY = {"email": "contains(text, '@')", "address": "(contains(text, '@') or contains(text, 'at'))", "secret": "true", "ipv6": "contains(text, ':')", "password": "rlike(text, '(?i)pass|pwd|pin code')", "phone": "contains(text, '+')"}
 
 
 def _found(kind: str) -> Column:
@@ -91,6 +96,29 @@ def _placed(every: DataFrame) -> DataFrame:
     return every.withColumn("end", end).withColumn("start", F.col("end") - size).drop("i", "gap")
 
 
+def _with_parts(found: DataFrame) -> DataFrame:
+    """found, of number candidates, with the parts of each run: whole digit groups in a row, with what stands beside them.
+
+    A run is cut into its groups, a row each, and windows over a few groups put parts together, so that a run of any
+    length costs time in proportion.
+    """
+    groups = found.select("row", "kind", F.col("start").alias("run"), F.col("end").alias("run_end"), "before", "after", F.posexplode(F.arrays_zip(F.split("hit", "[0-9]+").alias("mark"), F.regexp_extract_all("hit", F.lit("[0-9]+"), F.lit(0)).alias("digits"))).alias("at", "g"))
+    groups = groups.select("*", "g.*").drop("g").where("digits is not null")
+    order = Window.partitionBy("row", "run").orderBy("at")
+    text = F.concat("mark", "digits")
+    joined = lambda first, last: F.array_join(F.collect_list(text).over(order.rowsBetween(first, last)), "")
+    groups = groups.withColumn("end", F.col("run") + F.sum(F.char_length(text)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    groups = groups.withColumn("left", F.right(F.concat("before", joined(-CONTEXT, -1), "mark"), F.lit(CONTEXT))).withColumn("right", F.left(F.concat(joined(1, CONTEXT), "after"), F.lit(CONTEXT)))
+    groups = groups.withColumn("start", F.col("end") - F.char_length("digits")).withColumn("next", F.collect_list(F.struct("mark", "digits", "end", "right")).over(order.rowsBetween(0, GROUPS - 1)))
+    parts = groups.select("row", "kind", "run", "run_end", "start", "left", "next", "digits", F.explode(F.sequence(F.lit(1), F.size("next"))).alias("n"))
+    hit = F.concat("digits", F.array_join(F.transform(F.expr("slice(next, 2, n - 1)"), lambda g: F.concat(g["mark"], g["digits"])), ""))
+    last = F.element_at("next", F.col("n"))
+    parts = parts.where((F.col("start") != F.col("run")) | (last["end"] != F.col("run_end")))  # the whole is there already
+    parts = parts.select("row", "kind", "start", last["end"].alias("end"), hit.alias("hit"), F.col("left").alias("before"), last["right"].alias("after"))
+    whole = found.select("row", "kind", "start", "end", "hit", "before", "after")
+    return whole.union(parts.where(F.length(_digits(F.col("hit"))).between(LEAST_DIGITS, MOST_DIGITS)).select(*whole.columns))
+
+
 def _digits(hit: Column) -> Column:
     return F.regexp_replace(hit, "[^0-9]", "")
 
@@ -143,8 +171,12 @@ def features() -> dict[str, Column]:
         "f_word": flag(hit.rlike("^[A-Z]?[a-z-]+$")),
         "f_groups": F.size(F.split("hit", "[^0-9A-Za-z]+")),
         "f_colons": _count(":"),
-        "f_at": flag(hit.rlike("@|at[])]")),
-        "f_dot": flag(hit.rlike(r"(?:dot|\.)[])]? ?[A-Za-z]{2,6}$")),
+        "f_at": flag(hit.rlike("@|at[])}>-]")),
+        "f_dot": flag(hit.rlike(r"(?:dot|\.)[])}>-]? ?[A-Za-z]{2,6}$")),
+        "f_odd": _count("!?#$%^&*~|"),
+        "f_area": flag(hit.rlike(r"^\(?0[0-9]{1,4}\)?[ /-]{1,2}[0-9]{2,8}(?:[ -][0-9]{2,5}){0,3}$")),
+        "f_fours": flag(hit.rlike("^[0-9]{4}(?:[ -][0-9]{4}){3}$")),
+        "f_inner": flag(F.col("before").rlike("[0-9][ ()./-]{0,3}$") | F.col("after").rlike("^[ ()./-]{0,3}[0-9]")),
         "f_secret": near("token|secret|key|passw|pwd|auth|bearer|credential"),
         "f_contact": near("tel|phone|call|fax|mobile|contact|mail|reach|write"),
         "f_id": near("ssn|social|iban|account|passport|card|tax|insurance|number"),
@@ -168,7 +200,8 @@ def _samples() -> list[tuple[str, str, str, str, int]]:
         lead = f"{word(r.randint(3, 9))} {word(r.randint(2, 7))} "
         return (lead + r.choice(words) + r.choice([" ", ": ", " = ", "=", ' = "', " is "]))[-CONTEXT:] if r.random() < chance else lead[-CONTEXT:]
 
-    secret, contact = ["token", "secret", "api key", "password", "auth", "bearer"], ["tel", "phone", "call", "fax", "mobile", "contact"]
+    secret, contact = ["token", "secret", "api key", "password", "auth", "bearer"], ["tel", "phone", "call", "fax", "mobile", "contact", "Tel.", "Phone"]
+    said = ["password", "Password", "passwd", "pwd", "passphrase"]
     ident, other = ["ssn", "iban", "account", "passport", "card", "tax"], ["order", "invoice", "version", "isbn", "page", "price", "date", "total", "part"]
     yes = [
         ("secret", lambda: text(hexa, r.choice([32, 40, 40, 64])), secret),
@@ -177,8 +210,13 @@ def _samples() -> list[tuple[str, str, str, str, int]]:
         ("secret", lambda: text(string.ascii_uppercase, 2) + num(2) + text(string.ascii_uppercase, 4) + num(14), ident),
         ("number", lambda: f"{num(3)}-{num(2)}-{num(4)}", ident),
         ("number", lambda: f"{num(3)}{r.choice('-. ')}{num(3)}{r.choice('-. ')}{num(4)}", contact),
+        ("number", lambda: f"0{num(r.randint(2, 4))}{r.choice(['/', ' ', '-', ' / '])}{num(r.randint(5, 8))}", contact),
+        ("number", lambda: f"0{num(r.randint(1, 3))}{r.choice(' -')}{num(r.choice([3, 4]))}{r.choice(' -')}{num(r.choice([3, 4]))}", contact),
         ("number", lambda: num(r.randint(13, 19)), ident),
-        ("number", lambda: " ".join(num(4) for _ in range(4)), ident),
+        ("number", lambda: r.choice(" -").join(num(4) for _ in range(4)), ident),
+        ("password", lambda: text(alnum + "!?#$%&*_-", r.randint(8, 24)), said),
+        ("password", lambda: word(r.randint(3, 8)) + r.choice(["", "!", "_", "#"]) + num(r.randint(2, 4)) + r.choice(["", "!", "$"]), said),
+        ("address", lambda: f"{word(r.randint(1, 8))}{r.choice([' -at- ', ' {at} ', ' <at> '])}{word(r.randint(1, 9))}{r.choice([' -dot- ', ' {dot} ', ' <dot> '])}{r.choice(['com', 'org', 'net', 'de'])}", contact),
         ("address", lambda: f"{word(r.randint(3, 8))}{r.choice([' [at] ', ' (at) ', '[at]'])}{word(r.randint(4, 9))}{r.choice([' [dot] ', ' dot ', '.'])}{r.choice(['com', 'org', 'net', 'de'])}", contact),
         ("address", lambda: f"{word(r.randint(3, 8))} at {word(r.randint(4, 9))} dot {r.choice(['com', 'org', 'net', 'de'])}", contact),
         ("ipv6", lambda: ":".join(text(hexa, r.randint(1, 4)) for _ in range(8)), contact),
@@ -199,6 +237,10 @@ def _samples() -> list[tuple[str, str, str, str, int]]:
         ("number", lambda: num(r.randint(7, 9)), other),
         ("number", lambda: " ".join(num(r.randint(1, 3)) for _ in range(r.randint(4, 9))), other),
         ("number", lambda: f"{r.randint(1900, 2030)} - {r.randint(1900, 2030)}", other),
+        ("number", lambda: f"{num(4)}{r.choice('-/ ')}{num(r.randint(3, 6))}", other),
+        ("password", lambda: word(r.randint(5, 14)), said),
+        ("password", lambda: word(r.randint(5, 9)).capitalize() + r.choice([".", ")", ""]), said),
+        ("password", lambda: r.choice("*.-_x") * r.randint(5, 16), said),
         ("address", lambda: f"{word(r.randint(2, 9))} at {word(r.randint(2, 9))} dot {word(r.randint(4, 6))}", other),
         ("address", lambda: f"{word(r.randint(2, 9))} (at) {word(r.randint(2, 9))}", other),
         ("address", lambda: f"{word(r.randint(2, 9))}@{word(r.randint(2, 9))}", other),
@@ -210,7 +252,22 @@ def _samples() -> list[tuple[str, str, str, str, int]]:
     for k in range(SAMPLES):
         kind, make, words = r.choice(yes if k % 2 else no)
         after = r.choice([" ", ". ", ", ", '" ']) + word(r.randint(2, 9)) + " "
-        out.append((kind, make(), beside(words if k % 2 or r.random() < 0.8 else contact, 0.6), after, k % 2))
+        out.append((kind, make(), beside(words if k % 2 or r.random() < 0.8 else contact, 1.0 if kind == "password" else 0.6), after, k % 2))
+    # numbers in a row: those that are personal, and parts that begin or end within one or hold several
+    things = [(make, k) for k, rows in ((1, yes), (0, no)) for kind, make, _ in rows if kind == "number"]
+    while len(out) < SAMPLES * 3 // 2:
+        line, owned = beside(contact + other, 0.5), set()
+        for make, k in r.choices(things, k=r.randint(2, 4)):
+            one = make()
+            if k:
+                owned.add((len(line), len(line) + len(one)))
+            line += one + r.choice([" ", "  ", " - ", " ("])
+        line += word(5)
+        groups = [m.span() for m in re.finditer("[0-9]+", line)]
+        a = r.randrange(len(groups))
+        start, end = r.choice(sorted(owned)) if owned and r.random() < 0.5 else (groups[a][0], groups[min(len(groups) - 1, a + r.randint(0, 4))][1])
+        if LEAST_DIGITS <= len(re.sub("[^0-9]", "", line[start:end])) <= MOST_DIGITS:
+            out.append(("number", line[start:end], line[:start][-CONTEXT:], line[end:][:CONTEXT], int((start, end) in owned)))
     return out
 
 
@@ -239,7 +296,11 @@ def spans(candidates: DataFrame) -> DataFrame:
     expression, thresholds = _model(candidates.sparkSession.sparkContext.applicationId)
     every = _placed(candidates.select("row", F.explode("found").alias("x")).select("row", "x.*"))
     base = written(every.where(F.col("kind").isin(BASE) & valid()).select("row", "kind", "start", "end", F.lit(True).alias("base")), "base")
-    scored = every.where(F.col("kind").isin(ADDED)).select("row", "kind", "start", "end", "hit", *(c.alias(n) for n, c in features().items()))
+    proposed = every.where(F.col("kind").isin(ADDED))
+    several = (F.col("kind") == "number") & F.col("hit").rlike("[0-9][^0-9]+[0-9]")
+    place = ["row", "kind", "start", "end", "hit", "before", "after"]
+    proposed = proposed.where(~several).select(*place).union(_with_parts(proposed.where(several)))
+    scored = proposed.select("row", "kind", "start", "end", "hit", *(c.alias(n) for n, c in features().items()))
     # stored, as the planner would otherwise copy each feature's expression into every node of the trees
     scored = written(scored, "features").withColumn("score", F.expr(expression))
     least = F.coalesce(*(F.when(F.col("kind") == k, F.lit(t)) for k, t in thresholds.items()))

@@ -472,6 +472,47 @@ def test_pii_keeps_what_stands_beside_base_spans(spark):
     assert sorted(tuple(x) for x in got) == [(1, "secret", 5, 10), (1, "secret", 24, 33), (1, "secret", 40, 44)]
 
 
+def test_pii_finds_numbers_beside_others_and_forms_not_trained_on(spark):
+    """What has to be covered in each text; the templates are not those of the training samples."""
+    r = random.Random(5)
+    num = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    mixed = lambda n: "".join(r.choice("abcdefghijkmnpqrstuvwxyzABCDEFGH23456789") for _ in range(n))
+    forms = {
+        "beside_card": lambda: ("call 4111 1111 1111 1111 ({}", [f"555) {num(3)}-{num(4)}"]),
+        "in_failed_card": lambda: ("my tel {} {}", ["4111 1111 1111 1111", f"555-{num(3)}-{num(4)}"]),
+        "area_slash": lambda: ("Tel.: {}", [f"030/{num(7)}"]),
+        "dashed_at": lambda: ("send it to {} soon", [f"{mixed(1)} -at- {mixed(5).lower()} -dot- com"]),
+        "password": lambda: ("password: {}", [mixed(8) + num(4)]),
+        "before_date": lambda: ("ring me on {} 2024-05-01", [f"{num(3)}-{num(3)}-{num(4)}"]),
+        "two_phones": lambda: ("{} or {}", [f"{num(3)} {num(3)} {num(4)}", f"{num(3)}.{num(3)}.{num(4)}"]),
+        "london": lambda: ("dial {} please", [f"020 {num(4)} {num(4)}"]),
+        "two_ids": lambda: ("numbers {} {}", [f"{num(3)}-{num(2)}-{num(4)}", f"{num(3)}-{num(2)}-{num(4)}"]),
+    }
+    rows, want = [], {}
+    for name, make in forms.items():
+        for _ in range(20):
+            form, parts = make()
+            text = "some words before " + form.format(*parts) + " and words after"
+            want[len(rows)] = (name, [(text.index(p), text.index(p) + len(p)) for p in parts])
+            rows.append((len(rows), text))
+    hit, total = Counter(), Counter()
+    for x in pii.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        name, parts = want[x.doc_id]
+        spans = [tuple(map(int, s.split(":")[1:])) for s in x.spans.split(",") if s]
+        covered = {i for a, b in spans for i in range(a, b)}
+        text = rows[x.doc_id][1]
+        hit[name] += all(i in covered or not text[i].isalnum() for a, b in parts for i in range(a, b))
+        total[name] += 1
+    print(dict(hit))
+    assert sum(hit.values()) >= 0.9 * sum(total.values()) and all(hit[k] >= 0.75 * total[k] for k in forms)
+
+
+def test_pii_long_runs_of_numbers_take_linear_time(spark):
+    text = " ".join(str(i % 97) for i in range(60_000))
+    got = pii.digest(spark.createDataFrame([(1, text), (2, "x 12 " + "3" * 30_000)], "doc_id long, text string")).collect()
+    assert len(got) == 2
+
+
 def test_pii_recall_and_precision_in_texts_like_the_documents(spark):
     """Spans of each added kind are put into clean documents; what is found elsewhere is wrong."""
     from lodestone.llm.tables import read
