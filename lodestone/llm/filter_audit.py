@@ -2,8 +2,8 @@
 
 A to D are rules over a document's own text, as bits of one scan. E, "identical to the text of any smaller doc_id", is an existential
 self-join: the rows that share a hash with another row are joined, left-semi, with (hash, text, smallest doc_id) on hash,
-exact text and a smaller doc_id; there is one such row for each text, so a group of any number of copies costs no pairs, and the join may
-be split over its left side. The ids of E are united with those of the other failures and their bits gathered by
+exact text and a smaller doc_id; there is one such row for each text, so a group of any number of copies costs no pairs, and its rows
+are salted by their number. The ids of E are united with those of the other failures and their bits gathered by
 document; counts of bit combinations by part, at most 32 for each kind of label, are all that the orders are computed from.
 
 Of k filters that a document fails, each comes first in 1/k of the 120 orders; so shapley needs no sum over orders.
@@ -26,6 +26,8 @@ from .tables import read, small, written
 FILTERS = "ABCDE"
 #: So many hashes of 32 bytes are broadcast at most.
 BROADCAST_HASHES = 1 << 18
+#: Rows of one text that are compared with its first one in a task.
+SALTED = 512
 ORDERS = ["".join(p) for p in permutations(FILTERS)]
 _BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -54,11 +56,17 @@ def _bits(text: Column):
 
 
 def repeated(rows: DataFrame, base: DataFrame) -> DataFrame:
-    """The rows (doc_id, source, hash, text) whose exact text a row with a smaller doc_id has; base: (doc_id, hash) of all rows."""
-    several = written(base.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash"), "hashes")
-    own = rows.join(small(several, BROADCAST_HASHES), "hash", "left_semi")
-    first = own.groupBy(F.col("hash").alias("of_hash"), F.col("text").alias("of_text")).agg(F.min("doc_id").alias("first"))
-    return own.join(first, (F.col("hash") == F.col("of_hash")) & (F.col("text") == F.col("of_text")) & (F.col("first") < F.col("doc_id")), "left_semi")
+    """The rows (doc_id, source, hash, text) whose exact text a row with a smaller doc_id has; base: (doc_id, hash) of all rows.
+
+    The rows of a hash are dealt out over one salt for each SALTED of them, and the row of the text's first id is there for each salt.
+    """
+    several = base.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    several = small(written(several.select("hash", F.ceil(F.col("n") / SALTED).alias("salts")), "hashes"), BROADCAST_HASHES)
+    own = rows.join(several, "hash").withColumn("salt", F.pmod(F.xxhash64("doc_id"), "salts"))
+    first = own.groupBy("hash", "text", "salts").agg(F.min("doc_id").alias("first")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    first = first.select(*(F.col(c).alias(f"of_{c}") for c in ("hash", "text", "salt")), "first")
+    same = [F.col(c) == F.col(f"of_{c}") for c in ("hash", "text", "salt")]
+    return own.join(first, [*same, F.col("first") < F.col("doc_id")], "left_semi")
 
 
 def combinations(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -212,8 +212,9 @@ def test_audit_equals_a_plain_version(spark):
     assert [x.kept for x in filter_audit.audit(filter_audit.combinations(d.where("doc_id = 7"), q.limit(0))).collect()]
 
 
-def test_audit_without_broadcasts(spark, monkeypatch):
+def test_audit_without_broadcasts_and_with_salts(spark, monkeypatch):
     monkeypatch.setattr(filter_audit, "BROADCAST_HASHES", 0)
+    monkeypatch.setattr(filter_audit, "SALTED", 3)
     docs = [(i, "a", f"text {i % 7}") for i in range(50)]
     found = filter_audit.audit(filter_audit.combinations(spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"))).collect()
     assert sorted(tuple(x) for x in found) == _plain_audit(docs, [])
