@@ -6,9 +6,11 @@ import glob
 import hashlib
 import json
 import os
+import re
 import shutil
 from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..errors import SHAPE, Unsupported
 from ..functions import values as v
 from ..schemas import FOREIGN_KEYS, NATURAL_KEY, REQUIRED, SIDECAR, SUMMARY, TABLES, USER_VERSION
 from ..sources.filetree import hash_file
+from ..sources.parquet_store import BROKEN, footers, write_checked
 from .relational import key_violations, orphan_references, with_children
 
 STORE, ARRAYS, PRESERVED = "store", "arrays", "preserved"
@@ -24,14 +27,6 @@ STORE, ARRAYS, PRESERVED = "store", "arrays", "preserved"
 _ZSTD = {"compression": "zstd", "parquet.compression.codec.zstd.level": "3"}
 
 
-def write_table(df: DataFrame, target: str) -> None:
-    """df as a folder of Parquet files, one for each partition, without the marks that Spark leaves beside them."""
-    df.write.options(**_ZSTD).parquet(target)
-    for name in os.listdir(target):
-        if not name.startswith("part-"):
-            os.remove(os.path.join(target, name))
-
-
 def write_text(lines: DataFrame, target: str) -> None:
     """The one text column of lines as the single file target, in order of the partitions, which are written by tasks."""
     temp = f"{target}._parts"
@@ -45,17 +40,64 @@ def write_text(lines: DataFrame, target: str) -> None:
 
 
 def create(spark: SparkSession, output: str, tables: dict[str, DataFrame] | None = None) -> dict[str, int]:
-    """Writes all tables of the store, empty where none is given, with its version; returns the row counts."""
+    """Writes all tables of the store, empty where none is given, with its version; returns the row counts.
+
+    A null in a required column or a repeated key is refused before any file of the table is there.
+    """
     for name, schema in TABLES.items():
         df = (tables or {}).get(name)
         if df is None:
             df = spark.createDataFrame([], schema)
-        write_table(df, os.path.join(output, STORE, f"{name}.parquet"))
+        try:
+            write_checked(df, os.path.join(output, STORE, f"{name}.parquet"), REQUIRED[name], [schema.names[0]])
+        except PySparkException as e:
+            if (rule := re.search(re.escape(BROKEN) + r"([^\n\"']+)", str(e))) is None:
+                raise
+            raise Unsupported(f"{name}: {rule[1]}", SHAPE) from e
     with open(os.path.join(output, STORE, "version.json"), "w", encoding="utf-8") as f:
         json.dump({"user_version": USER_VERSION}, f)
     return counts(load(spark, output))
 
 
+def expected_columns(spark: SparkSession) -> DataFrame:
+    """(table, column, type, required) of the store."""
+    rows = [(t, f.name, f.dataType.simpleString(), f.name in REQUIRED[t]) for t, schema in TABLES.items() for f in schema.fields]
+    return spark.createDataFrame(rows, "table string, column string, type string, required boolean")
+
+
+def file_findings(said: DataFrame, versions: DataFrame, expected: DataFrame, version: int = USER_VERSION) -> DataFrame:
+    """(finding, table, file, column): what the footers of a store's files, (table, footers' columns), show to be wrong.
+
+    versions: (user_version), the store's markers; expected: (table, column, type, required). No row of data is read: types, lacking
+    and unknown columns come from schemas, nulls in required columns from statistics.
+    """
+    good = said.where("error is null").groupBy("table", "file", "column", "type").agg(F.sum("nulls").alias("nulls"))
+    files = good.select("table", "file").distinct()
+    wanted = expected.select(F.col("table"), F.col("column"), F.col("type").alias("wanted"), "required")
+    both = good.join(wanted, ["table", "column"])
+    none = F.lit(None).cast("string")
+    found = {
+        "unreadable_file": said.where("error is not null").select("table", "file", none.alias("column")),
+        "missing_table": wanted.join(said.select("table"), "table", "left_anti").select("table", none.alias("file"), none.alias("column")).distinct(),
+        "missing_column": files.join(wanted, "table").join(good.select("file", "column"), ["file", "column"], "left_anti").select("table", "file", "column"),
+        "unknown_column": good.join(wanted, ["table", "column"], "left_anti").select("table", "file", "column"),
+        "other_type": both.where("type <> wanted").select("table", "file", "column"),
+        "null_in_required": both.where("required and nulls > 0").select("table", "file", "column"),
+        "other_version": versions.agg(F.count("*").alias("n"), F.count(F.when(F.col("user_version") == version, 1)).alias("right")).where("n = 0 or n <> right").select(none.alias("table"), none.alias("file"), none.alias("column")),
+    }
+    return reduce(DataFrame.union, (df.select(F.lit(k).alias("finding"), "table", "file", "column") for k, df in found.items()))
+
+
+def integrity(spark: SparkSession, output: str) -> DataFrame:
+    """file_findings() of the store below output."""
+    base = os.path.join(output, STORE)
+    said = footers(spark, *(os.path.join(base, f"{t}.parquet") for t in TABLES))
+    table = F.regexp_extract("file", r"([^/]+)\.parquet/[^/]*$", 1)
+    marker = os.path.join(base, "version.json")
+    versions = spark.read.schema("user_version long").json(marker, multiLine=True) if os.path.isfile(marker) else spark.createDataFrame([], "user_version long")
+    return file_findings(said.withColumn("table", table), versions, expected_columns(spark))
+
+
 def load(spark: SparkSession, output: str) -> dict[str, DataFrame]:
     """The store's tables, also as temporary views, with the view v_chain_summary."""
     found = {name: spark.read.schema(schema).parquet(os.path.join(output, STORE, f"{name}.parquet")) for name, schema in TABLES.items()}

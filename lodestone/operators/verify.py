@@ -14,6 +14,7 @@ from ..functions import values as v
 from ..schemas import SIDECAR
 from ..sources.filetree import scan, unsafe
 from . import store
+from .folding import folded_digest
 from .relational import mismatched, missing
 
 ROWS = "arrays:"
@@ -28,6 +29,12 @@ def ledger(spark: SparkSession, checksums: dict[str, str]) -> DataFrame:
     return spark.createDataFrame([(k, str(d), k.startswith(ROWS)) for k, d in checksums.items()], "key string, digest string, is_row boolean")
 
 
+def folder_digests(rows: DataFrame) -> DataFrame:
+    """(path, digest): of each folder the digest of its files' digests, as a canonical JSON map of rows (path, key, digest)."""
+    one = v.canonical_map(F.create_map("key", "digest"))
+    return folded_digest(rows, ["path"], ["key"], F.substring(one, F.lit(2), F.char_length(one) - 2), "{", ",", "}")
+
+
 def preserved_findings(preserved: DataFrame, files: DataFrame) -> DataFrame:
     """(finding, path, seq): what is wrong with preserved (seq, path, checksum), held against files (key, digest).
 
@@ -40,8 +47,7 @@ def preserved_findings(preserved: DataFrame, files: DataFrame) -> DataFrame:
     outside = once.where(unsafe(F.col("path")) | ~F.col("path").startswith(f"{store.PRESERVED}/"))
     once = once.join(outside.select("seq"), "seq", "left_anti")
     above = files.select("key", "digest", F.explode(v.ancestors(F.col("key"))).alias("path")).where("path <> key")
-    folders = above.join(once.select("path"), "path", "left_semi").groupBy("path").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "digest")))).alias("m"))
-    folders = folders.select("path", v.digest(v.canonical_map(F.col("m"))).alias("actual"))
+    folders = folder_digests(above.join(once.select("path"), "path", "left_semi")).withColumnRenamed("digest", "actual")
     actual = files.select(F.col("key").alias("path"), F.col("digest").alias("of_file")).join(folders, "path", "full_outer").select("path", F.coalesce("of_file", "actual").alias("actual"))
     held = once.join(actual, "path", "left")
     found = {"missing_checksums": held.where("actual is null"), "mismatched_payloads": held.where("actual <> checksum"), "duplicate_paths": again, "invalid_entries": bad, "outside_preserved": outside}
@@ -108,9 +114,11 @@ def summary(spark: SparkSession, output: str, manifest: dict[str, Any], exclude:
     listed = _rated({"missing": _list(missing(want, files, ["key"]), "key"), "mismatched": _list(mismatched(want, files, ["key"], "digest"), "key")})
     orphans = _rated({"orphans": _list(missing(files.where(~F.col("key").isin(exclude)), want, ["key"]), "key")})
     has_store = os.path.isdir(os.path.join(output, store.STORE))
-    tables = store.load(spark, output) if has_store else None
+    wrong = [": ".join(x for x in (r.finding, r.table, r.file and os.path.basename(r.file), r.column) if x) for r in store.integrity(spark, output).orderBy("finding", "table", "file", "column").collect()] if has_store else []
+    # tables whose files are not as they should be are not read
+    tables = store.load(spark, output) if has_store and not wrong else None
     rules = [f"{r.rule} ({r.n})" for r in store.violations(tables).collect()] if tables else []
-    integrity = _rated({"violations": rules}) if tables else {"status": "not_applicable", "failure_count": 0}
+    integrity = _rated({"files": wrong, "violations": rules}) if has_store else {"status": "not_applicable", "failure_count": 0}
     items = manifest.get("preserved_opaque")
     expected = sum(1 for u in manifest.get("unsupported") or [] if isinstance(u, dict) and u.get("disposition") == "preserved")
     if not isinstance(items, list):
