@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import contracts, policy
 from .errors import CAPABILITY, FORWARD, OK, REFUSED_INPUT, REQUEST, SHAPE, WARNINGS, PolicyRefusal, Refusal, Unsupported
-from .operators import lowering, store, verify as checks
-from .operators.detect import Artifact, detect
+from .operators import dispatch, lowering, store, verify as checks
+from .operators.detect import Artifact, as_table, detect
 from .functions import values as v
 from .schemas import PRESERVABLE
 from .sources.documents import native_rows
@@ -50,19 +50,13 @@ def _entry(a: Artifact, e: Refusal | None, disposition: str) -> dict[str, Any]:
     return {"item": a.path, "source_kind": a.kind, "reason": reason, "disposition": disposition, "cause": e.cause if e else CAPABILITY}
 
 
-def plan(found: list[Artifact]) -> tuple[str, Artifact | None]:
+def plan(spark: SparkSession, found: list[Artifact]) -> tuple[str, Artifact | None]:
     """(how, main artifact): the one lowering that a source's artifacts allow, or keeping all of them."""
-    by = {k: [a for a in found if a.kind == k] for k in {a.kind for a in found}}
-    one = lambda k: by.get(k, [None])[0]
-    if one("sqlite-workspace-legacy-arrays"):
-        return "store", one("sqlite-workspace-legacy-arrays")
-    if len(found) == 1 and one("native-results-v1"):
-        return "native", found[0]
-    if len(by.get("fs-runs-legacy", [])) == 1 and set(by) <= {"fs-runs-legacy", "loose-predictions"}:
-        return "run", one("fs-runs-legacy")
-    if len(found) == 1 and one("loose-predictions"):
-        return "loose", found[0]
-    return "keep", None
+    rows = dispatch.plans(as_table(spark, found).withColumn("root", F.lit(".")))
+    best = rows.orderBy(F.desc("main"), "seq").first()
+    if best.plan == "refuse":
+        raise Unsupported("nothing known was found in the source", SHAPE) if best.refusal == "nothing_known" else Unsupported("an artifact has a newer version than is supported", FORWARD)
+    return best.plan, found[best.seq] if best.main else None
 
 
 def lower(spark: SparkSession, source: str, how: str, main: Artifact, found: list[Artifact]) -> lowering.Lowered:
@@ -138,12 +132,8 @@ def migrate(
         policy.require_outside(source, p)
     with policy.guarded(spark, source) as tree:
         found = detect(source)
-        if all(a.kind == "unknown" for a in found):
-            raise Unsupported("nothing known was found in the source", SHAPE)
-        if any(a.forward for a in found):
-            raise Unsupported("an artifact has a newer version than is supported", FORWARD)
+        how, main = plan(spark, found)
         doc = contracts.manifest(source, policy.fingerprint(tree), found)
-        how, main = plan(found)
         if dry_run:
             return _dry(spark, source, found, how, main, doc, paths)
         policy.require_available(output, resume)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
@@ -18,6 +19,11 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit(PREFIX), F.sha2(text, 256))
 
 
+def digest_of(text: str) -> str:
+    """digest() of a text that the driver has."""
+    return PREFIX + hashlib.sha256(text.encode()).hexdigest()
+
+
 def prefixed(text: Column) -> Column:
     """A digest with its prefix, added where it is missing."""
     return F.when(text.startswith(PREFIX), text).otherwise(F.concat(F.lit(PREFIX), text))
@@ -29,8 +35,9 @@ def or_default(text: Column, default: str) -> Column:
 
 
 def first_filled(*columns: Column, default: str = "") -> Column:
-    """The first of columns that is neither null nor empty, as text."""
-    return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in columns), F.lit(default))
+    """The first of columns that is neither null nor empty, as text; Booleans are True and False. Of a list see first_of_list()."""
+    text = lambda c: F.when(F.typeof(c) == "boolean", F.initcap(c.cast("string"))).otherwise(c.cast("string"))
+    return F.coalesce(*(F.nullif(text(c), F.lit("")) for c in columns), F.lit(default))
 
 
 def first_of_list(items: Column) -> Column:
@@ -104,25 +111,23 @@ def blank_cell(cell: Column) -> Column:
     return cell.isNull() | F.trim(cell).isin("", "null")
 
 
-#: Levels of nesting that are told apart in shapes; deeper cells are not decoded.
-MAX_DEPTH = 8
-
-
 def quoted_nonfinite(text: Column) -> Column:
     """JSON text whose bare NaN and infinities are texts, so that they can be read as such."""
     return F.regexp_replace(text, r'(?<![\w"-])(-?(?:NaN|Infinity))(?![\w"])', '"$1"')
 
 
 def _flat_items(cell: Column) -> Column:
-    """The scalars of a JSON array cell of any depth, as texts; null where it is not JSON or no array."""
+    """The scalars of a JSON array cell of any depth, mixed depths too, as texts; null where it is not JSON or no array."""
     cell = quoted_nonfinite(cell)
-    outer = F.from_json(cell, "array<string>")
+    # within an object and within a list, as the parser leaves what follows a whole value unread
+    outer = F.from_json(F.concat(F.lit('{"a":'), cell, F.lit("}")), "struct<a:array<string>>")["a"]
+    alone = F.size(F.from_json(F.concat(F.lit("["), cell, F.lit("]")), "array<string>")) == 1
     # brackets outside of strings fall away, and what is left is a flat list
-    bare = F.regexp_replace(cell, r'("(?:[^"\\]|\\.)*")|[\[\]\s]', "$1")
+    bare = F.regexp_replace(cell, r'("(?:[^"\\]++|\\.)*+")|[\[\]\s]', "$1")
     bare = F.btrim(F.regexp_replace(bare, ",+", ","), F.lit(","))
     items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
-    nested = F.regexp_replace(cell, r"\s", "").startswith("[[")
-    return F.when(outer.isNotNull(), F.when(nested, items).otherwise(outer))
+    nested = F.exists(outer, lambda x: x.startswith("["))
+    return F.when(outer.isNotNull() & alone, F.when(nested, items).otherwise(outer))
 
 
 def number(x: Column, kind: str = "double") -> Column:
@@ -144,14 +149,17 @@ def decode_failed(cell: Column, decoded: Column) -> Column:
 
 
 def array_shape(cell: Column) -> Column:
-    """Sizes along the first elements of a JSON array cell, up to MAX_DEPTH levels; null for blank cells."""
-    sizes, at = [], cell
-    for _ in range(MAX_DEPTH):
-        level = F.when(F.ltrim(at).startswith("["), F.from_json(at, "array<string>"))
-        sizes.append(F.size(level))
-        at = F.get(level, 0)
-    # size() of null is null here: levels that are not there fall away
-    return F.when(~blank_cell(cell), F.array_compact(F.array(*(F.when(s >= 0, s) for s in sizes))))
+    """Sizes along the first elements of a JSON array cell, of any depth; null for blank cells."""
+    depth = F.length(F.regexp_extract(F.regexp_replace(cell, r"\s", ""), r"^\[+", 0))
+
+    # as many steps as brackets at the start: each takes the size of what is left and goes on with its first element
+    def step(a: Column, _: Column) -> Column:
+        level = F.from_json(a["at"], "array<string>")
+        return F.struct(F.get(level, F.lit(0)).alias("at"), F.when(level.isNull(), a["sizes"]).otherwise(F.concat(a["sizes"], F.array(F.size(level)))).alias("sizes"))
+
+    start = F.struct(cell.alias("at"), F.array().cast("array<int>").alias("sizes"))
+    sizes = F.aggregate(F.when(depth > 0, F.sequence(F.lit(1), depth)).otherwise(F.array().cast("array<int>")), start, step, lambda a: a["sizes"])
+    return F.when(~blank_cell(cell), sizes)
 
 
 def ragged(cell: Column) -> Column:

@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import values as v
-from ..operators import lowering, store, verify
+from ..operators import lowering, run_manifests, store, verify
 from ..operators import relational as rel
-from ..operators.detect import detect_tree, kinds
-from ..schemas import ENGINE, NATIVE
+from ..operators.detect import detect_tree, kind_of_path, kinds
+from ..operators.dispatch import plans
+from ..operators.folding import folded_digest
+from ..schemas import ENGINE, KINDS, NATIVE, PRESERVABLE
 from ..schemas import TABLES as TABLES_OF_STORE
+from ..sources.parquet_store import footers
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,16 +102,13 @@ def metadata_lookup(t: Tables) -> DataFrame:
 
 @query("select source, sha256(string_agg(sha256(text), ',' order by doc_id)) fingerprint from documents group by source")
 def tree_fingerprint(t: Tables) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.struct("doc_id", "digest")))
-    digests = t.documents.select("source", "doc_id", F.sha2("text", 256).alias("digest"))
-    return digests.groupBy("source").agg(F.sha2(F.array_join(F.transform(ordered, lambda x: x["digest"]), ","), 256).alias("fingerprint"))
+    return folded_digest(t.documents.select("source", "doc_id", "text"), ["source"], ["doc_id"], F.sha2("text", 256), between=",", prefix="").withColumnRenamed("digest", "fingerprint")
 
 
-@query("""select lang, sha256('{' || string_agg('"' || doc_id || '":"' || sha256(text) || '"', ',' order by doc_id::varchar) || '}') digest from documents group by lang""")
+@query("""select lang, 'sha256:' || sha256('{' || string_agg('"' || doc_id || '":"' || sha256(text) || '"', ',' order by doc_id::varchar) || '}') digest from documents group by lang""")
 def directory_digest(t: Tables) -> DataFrame:
-    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "d"))))
-    rows = t.documents.select("lang", F.col("doc_id").cast("string").alias("k"), F.sha2("text", 256).alias("d"))
-    return rows.groupBy("lang").agg(F.sha2(F.to_json(entries), 256).alias("digest"))
+    rows = t.documents.select(F.col("lang").alias("path"), F.col("doc_id").cast("string").alias("key"), F.sha2("text", 256).alias("digest"))
+    return verify.folder_digests(rows).select(F.col("path").alias("lang"), "digest")
 
 
 @query("select user_id, arg_min(value, event_id) first_value, arg_max(event_type, event_id) last_type from events group by 1")
@@ -210,10 +210,12 @@ def first_nonempty(t: Tables) -> DataFrame:
     return found.select("doc_id", v.first_filled(quality, F.col("source"), default="none").alias("said"))
 
 
-@query(r"""select page_id, case when regexp_matches(url, '\.html?$') then 'html' when contains(url, '?') then 'query' else 'other' end kind from pages""")
+@query(r"""select page_id, case when x = 'store.sqlite' then 'sqlite-workspace-v2' when regexp_matches(x, '^runs/[^/]+/[^/]+/manifest\.yaml$') then 'fs-runs-legacy' when regexp_matches(x, '^[^/]+\.n4a\.py$') then 'n4a-py-bundle'
+  when regexp_matches(x, '^[^/]+\.n4a$') then 'n4a-bundle' end kind from (select page_id, case page_id % 5 when 0 then 'store.sqlite' when 1 then 'runs/' || regexp_replace(url, '^https?://', '') || '/manifest.yaml' when 2 then page_id || '.n4a.py' when 3 then page_id || '.n4a' else url end x from pages)""")
 def classify_kind(t: Tables) -> DataFrame:
-    url = F.col("url")
-    return t.pages.select("page_id", F.when(url.rlike(r"\.html?$"), "html").when(F.contains(url, F.lit("?")), "query").otherwise("other").alias("kind"))
+    n = F.col("page_id").cast("string")
+    names = F.array(F.lit("store.sqlite"), F.concat(F.lit("runs/"), F.regexp_replace("url", "^https?://", ""), F.lit("/manifest.yaml")), F.concat(n, F.lit(".n4a.py")), F.concat(n, F.lit(".n4a")), F.col("url"))
+    return t.pages.select("page_id", kind_of_path(F.get(names, (F.col("page_id") % 5).cast("int"))).alias("kind"))
 
 
 @query("select c_custkey::bigint run_id, c_name as name, null::varchar config, 'running' as status, c_acctbal::double score from customer")
@@ -438,3 +440,79 @@ def canonical_texts(t: Tables) -> DataFrame:
 @query("select kind source_kind, min(event_id)::bigint seq, arg_max(version, event_id) detected_version from (select event_id, event_type kind, user_id::varchar as version from events) group by 1")
 def kinds_seen(t: Tables) -> DataFrame:
     return kinds(t.events.select(F.col("event_type").alias("source_kind"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("detected_version")))
+
+
+# ---- files, arrays of any depth, plans and manifests of many sources -------------------------------------------------------
+
+
+def _each(of: str) -> str:
+    """SQL that has a row for each column of each table: (name, column, what of says about it)."""
+    return " union all ".join(f"select '{t}' as name, c as \"column\", n from (unpivot (select {of} as '\\1' from {t}) on columns(*) into name c value n)" for t in TABLES)
+
+
+def _footers(t: Tables) -> DataFrame:
+    said = footers(t.spark, *(f"{t.sf_dir}/{x}.parquet" for x in TABLES))
+    return said.withColumn("table", F.regexp_extract("file", r"([^/]+)\.parquet(?:/[^/]*)?$", 1))
+
+
+@query(f"""select r.name, r."column", r.n as n_rows, case when r."column" = 'embedding' then null else r.n - v.n end nulls from ({_each("count(*) + 0 * count(columns('(.*)'))")}) r join ({_each("count(columns('(.*)'))")}) v using (name, "column")""")
+def footer_statistics(t: Tables) -> DataFrame:
+    return _footers(t).groupBy(F.col("table").alias("name"), "column").agg(F.sum("rows").alias("n_rows"), F.sum("nulls").alias("nulls"))
+
+
+@query(f"""select 'other_type' finding, table_name as "table", column_name as "column" from information_schema.columns where table_name in ({', '.join(f"'{x}'" for x in TABLES)}) and table_name <> 'pages' and data_type <> 'VARCHAR'
+  union all select 'null_in_required', r.name, r."column" from ({_each("count(*) + 0 * count(columns('(.*)'))")}) r join ({_each("count(columns('(.*)'))")}) v using (name, "column") where r.n > v.n and r.name <> 'pages'
+  union all select 'unknown_column', 'pages', column_name from information_schema.columns where table_name = 'pages'
+  union all select 'missing_table', 'archive', null union all select 'other_version', null, null""")
+def store_files(t: Tables) -> DataFrame:
+    """The tables' files held against a schema that has all columns as required texts, lacks pages, and has one table more."""
+    rows = [(x, c, "string", True) for x in TABLES if x != "pages" for c in getattr(t, x).columns] + [("archive", "id", "string", True)]
+    expected = t.spark.createDataFrame(rows, "table string, column string, type string, required boolean")
+    versions = t.region.agg(F.max("r_regionkey").cast("long").alias("user_version"))
+    return store.file_findings(_footers(t), versions, expected).select("finding", "table", "column").distinct()
+
+
+@query("""select doc_id, doc_id % 12 + 1 + (case when doc_id % 3 = 0 then 2 else 0 end) n, doc_id % 5 = 4 bad, array_to_string(list_concat(case when doc_id % 3 = 0 then [3] else [1] end, list_transform(range(doc_id % 20), lambda x: 1), [doc_id % 12 + 1]), ',') shape from documents""")
+def deep_arrays(t: Tables) -> DataFrame:
+    """Cells nested to 21 levels, a third of them with items of other depths beside the nested list."""
+    n, depth = (F.col("doc_id") % 12 + 1).cast("int"), (F.col("doc_id") % 20).cast("int")
+    items = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: F.when((F.col("doc_id") % 5 == 4) & (i == 1), F.lit("null")).otherwise(i.cast("string"))), ",")
+    inner = F.concat(F.repeat(F.lit("["), depth), F.lit("["), items, F.lit("]"), F.repeat(F.lit("]"), depth))
+    cell = F.concat(F.lit("["), inner, F.when(F.col("doc_id") % 3 == 0, F.lit(", 7, [[8], []]")).otherwise(F.lit("")), F.lit("]"))
+    rows = t.documents.select("doc_id", cell.alias("cell"))
+    found = v.decode_array(F.col("cell"))
+    return rows.select("doc_id", F.size(found).cast("long").alias("n"), v.decode_failed(F.col("cell"), found).alias("bad"), F.array_join(v.array_shape(F.col("cell")).cast("array<string>"), ",").alias("shape"))
+
+
+_ARTIFACTS = f"""select case when doc_id % 3 = 0 then 'one-' || doc_id else 'pair-' || doc_id // 3 end root, doc_id seq, source path, [{', '.join(f"'{k}'" for k in KINDS)}][(doc_id * 7 + n_chars) % {len(KINDS)} + 1] kind, doc_id % 11 = 0 newer from documents"""
+
+
+@query(f"""with a as ({_ARTIFACTS}), c as (select *, count(*) over w n, count(*) filter (where kind <> 'unknown') over w known, bool_or(newer) over w newest, min(seq) filter (where kind = 'sqlite-workspace-legacy-arrays') over w store,
+    count(*) filter (where kind = 'fs-runs-legacy') over w runs, count(*) filter (where kind not in ('fs-runs-legacy', 'loose-predictions')) over w others from a window w as (partition by root)),
+  p as (select *, case when known = 0 then 'nothing_known' when newest then 'newer_version' end refusal, case when known = 0 or newest then 'refuse' when store is not null then 'store' when n = 1 and kind = 'native-results-v1' then 'native'
+    when runs = 1 and others = 0 then 'run' when n = 1 and kind = 'loose-predictions' then 'loose' else 'keep' end plan from c),
+  m as (select *, plan = 'store' and seq = store or plan in ('native', 'loose') or plan = 'run' and kind = 'fs-runs-legacy' main from p),
+  d as (select *, case when plan = 'refuse' then 'refused' when main or plan = 'run' then 'lowered' when kind in ({', '.join(f"'{k}'" for k in PRESERVABLE)}) then 'preserved' else 'ignored' end disposition from m)
+  select root, seq, plan, refusal, main, disposition, bool_or(disposition in ('preserved', 'refused')) over (partition by root) strict_refused from d""")
+def migration_plans(t: Tables) -> DataFrame:
+    root = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("one-"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("pair-"), F.expr("doc_id div 3").cast("string")))
+    kind = F.get(F.array(*map(F.lit, KINDS)), ((F.col("doc_id") * 7 + F.col("n_chars")) % len(KINDS)).cast("int"))
+    artifacts = t.documents.select(root.alias("root"), F.col("doc_id").alias("seq"), F.col("source").alias("path"), kind.alias("source_kind"), (F.col("doc_id") % 11 == 0).alias("forward_version"))
+    return plans(artifacts).select("root", "seq", "plan", "refusal", "main", "disposition", "strict_refused")
+
+
+@query("""with d as (select *, regexp_extract(text, '[A-Za-z]+') w from documents)
+  select doc_id::varchar as name, case when doc_id % 13 = 0 then 'again' else doc_id::varchar end run_id, lang dataset, case when doc_id % 7 <> 0 then w end model, case when doc_id % 7 <> 0 then '../' || source || '_predictions.json' end file,
+  case when doc_id % 4 = 0 then '' else 'snv,' || w end steps, case when doc_id % 9 = 0 then 13 + case when doc_id % 13 = 0 then 1 else 0 end end bad_line from d""")
+def manifest_tables(t: Tables) -> DataFrame:
+    """A run manifest for each document: some say a scalar twice, leave sections out, have an empty list, or a line that is refused."""
+    n, word = F.col("doc_id"), F.regexp_extract("text", "[A-Za-z]+", 0)
+    some = lambda when, *lines: F.when(when, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))).otherwise(F.lit(""))
+    full = n % 7 != 0
+    text = F.concat(
+        F.lit("# a run\n\nrun_id: '"), n.cast("string"), F.lit("'\r\n"), some(n % 13 == 0, "run_id: again\n"), F.lit("dataset:   "), F.col("lang"), F.lit("  \n"),
+        some(full, "model:\n  class: M\n  name: \"", word, "\"\npredictions:\n  file: ../", F.col("source"), "_predictions.json\n"), some(~full, "engine: a\n# none\n\n\n\n"),
+        F.lit("preprocessing:\n"), some(n % 4 != 0, "  - snv\n  - ", word, "\n"), some(n % 4 == 0, "\n\n"), some(n % 9 == 0, "    deep: 1\n"),
+    )
+    found = run_manifests.manifests(t.documents.select(n.cast("string").alias("name"), text.alias("text")))
+    return found.select("name", F.col("fields.run_id").alias("run_id"), F.col("fields.dataset").alias("dataset"), F.col("model.name").alias("model"), F.col("predictions.file").alias("file"), F.array_join("preprocessing", ",").alias("steps"), F.col("bad_line").cast("long").alias("bad_line"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .errors import IN_PLACE, NON_EMPTY, RUNTIME, PolicyRefusal, SourceChanged
 from .functions import values as v
+from .operators.folding import folded_digest
 from .operators.relational import snapshot_diff
 from .sources.filetree import scan
 
@@ -39,14 +40,12 @@ def require_available(output: str, resume: bool) -> None:
 
 
 def fingerprint(tree: DataFrame) -> str:
-    """Digest of a tree's entries in order, without times; names that Spark and Python would escape differently are hashed too."""
-    entry = F.struct("rel_path", "kind", "size", "sha256")
-    rows = sorted(r[0] for r in tree.select(entry.alias("e")).collect())
-    names = {-1: "directory", -2: "unreadable"}
-    listed = [{"kind": names[r.size], "path": r.rel_path} if r.size < 0 else {"kind": "file", "path": r.rel_path, "sha256": r.sha256, "size": r.size} for r in rows]
-    import hashlib
-
-    return "sha256:" + hashlib.sha256(v.canonical(listed, True).encode()).hexdigest()
+    """Digest of a tree's entries in order of their paths, without times, as a canonical JSON list."""
+    kind = F.when(F.col("size") == -1, "directory").when(F.col("size") == -2, "unreadable").otherwise("file")
+    rows = tree.select("rel_path", "size", "sha256", kind.alias("kind"), F.col("rel_path").alias("path"))
+    entry = F.when(F.col("size") < 0, v.canonical_json("kind", "path")).otherwise(v.canonical_json("kind", "path", "sha256", "size"))
+    found = folded_digest(rows, [], ["rel_path"], entry, "[", ",", "]").first()
+    return found.digest if found else v.digest_of("[]")
 
 
 @contextmanager

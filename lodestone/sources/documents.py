@@ -48,7 +48,7 @@ def unquoted(text: str) -> str:
 
 
 #: Sections of a run manifest: those of key-value pairs, and the one of list items.
-_SECTIONS = {"model": dict, "predictions": dict, "preprocessing": list}
+SECTIONS = {"model": dict, "predictions": dict, "preprocessing": list}
 
 
 def run_manifest(text: str) -> dict[str, Any]:
@@ -64,17 +64,17 @@ def run_manifest(text: str) -> dict[str, Any]:
         if indent == 0 and pair:
             key, value = pair[1], pair[2]
             section = None
-            if value is None and key in _SECTIONS:
-                section, out[key] = key, _SECTIONS[key]()
+            if value is None and key in SECTIONS:
+                section, out[key] = key, SECTIONS[key]()
                 continue
             if value is not None:
                 out[key] = unquoted(value)
                 continue
         elif indent == 2 and section is not None:
-            if _SECTIONS[section] is list and body.startswith("- "):
+            if SECTIONS[section] is list and body.startswith("- "):
                 out[section].append(unquoted(body[2:]))
                 continue
-            if _SECTIONS[section] is dict and pair and pair[2] is not None:
+            if SECTIONS[section] is dict and pair and pair[2] is not None:
                 out[section][pair[1]] = unquoted(pair[2])
                 continue
         raise Unsupported(f"line {number} of a run manifest has a form that is not supported", SHAPE)
