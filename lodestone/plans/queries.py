@@ -19,6 +19,7 @@ from ..operators import relational as rel
 from ..operators.detect import detect_tree, kind_of_path, kinds
 from ..operators.dispatch import plans
 from ..operators.folding import folded_digest
+from ..operators.trees import tree_changes, tree_nodes
 from ..schemas import ENGINE, KINDS, NATIVE, PRESERVABLE
 from ..schemas import TABLES as TABLES_OF_STORE
 from ..sources.parquet_store import footers
@@ -516,3 +517,21 @@ def manifest_tables(t: Tables) -> DataFrame:
     )
     found = run_manifests.manifests(t.documents.select(n.cast("string").alias("name"), text.alias("text")))
     return found.select("name", F.col("fields.run_id").alias("run_id"), F.col("fields.dataset").alias("dataset"), F.col("model.name").alias("model"), F.col("predictions.file").alias("file"), F.array_join("preprocessing", ",").alias("steps"), F.col("bad_line").cast("long").alias("bad_line"))
+
+
+_FILES = "select source || '/' || lang || '/' || doc_id path, sha256(text) digest, doc_id, source, lang from documents"
+
+
+@query(f"""with f as ({_FILES}), a as (select path, source, lang, digest from f where doc_id % 103 <> 5), b as (select path, source, lang, case when source like '%3' and doc_id % 29 = 0 then 'x' else digest end digest from f where doc_id % 101 <> 7),
+  both_ as (select coalesce(a.path, b.path) path, coalesce(a.source, b.source) source, coalesce(a.lang, b.lang) lang, a.digest o, b.digest n from a full join b on a.path = b.path),
+  l as (select source || '/' || lang path, source, count(o) o, count(n) n, bool_or(o is distinct from n) d from both_ group by source, lang), s as (select source path, count(o) o, count(n) n, bool_or(o is distinct from n) d from both_ group by source),
+  lc as (select l.* from l join s on s.path = l.source where s.d), fc as (select both_.* from both_ join lc on lc.path = both_.source || '/' || both_.lang where lc.d),
+  r as (select '' path, 0 as depth, 'dir' kind, 'changed' change, 1 compared from s having bool_or(d) union all
+    select path, 1, 'dir', case when o = 0 then 'added' when n = 0 then 'removed' else 'changed' end, (select count(*) from s) from s where d union all
+    select path, 2, 'dir', case when o = 0 then 'added' when n = 0 then 'removed' else 'changed' end, (select count(*) from lc) from lc where d union all
+    select path, 3, 'file', case when o is null then 'added' when n is null then 'removed' else 'changed' end, (select count(*) from fc) from fc where o is distinct from n) select * from r""")
+def changed_paths(t: Tables) -> DataFrame:
+    """The documents as a tree of sources and languages: some files are added, removed or changed."""
+    files = t.documents.select("doc_id", "source", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"))
+    edited = F.when(F.col("source").endswith("3") & (F.col("doc_id") % 29 == 0), F.lit("x")).otherwise(F.col("digest"))
+    return tree_changes(tree_nodes(files.where("doc_id % 103 <> 5")), tree_nodes(files.where("doc_id % 101 <> 7").withColumn("digest", edited)))

@@ -126,3 +126,38 @@ def test_cells_that_are_no_arrays_of_numbers_fail(spark, cell):
 def test_booleans_are_told_as_words(spark):
     df = spark.createDataFrame([(True, None), (None, 2)], "b boolean, n int")
     assert [x[0] for x in df.select(v.first_filled(F.col("b"), F.col("n"))).collect()] == ["True", "2"]
+
+
+def _plain_nodes(files):
+    """Digest of each node of a tree {path: digest}, by (path, kind)."""
+    out, dirs = {(p, "file"): d for p, d in files.items()}, {}
+    for p in files:
+        parts = p.split("/")
+        for i in range(len(parts)):
+            dirs.setdefault("/".join(parts[:i]), {})[(parts[i], "file" if i == len(parts) - 1 else "dir")] = "/".join(parts[: i + 1])
+    for d in sorted(dirs, key=lambda d: (-d.count("/") if d else 1, d)):
+        lines = [f"{k}:{n}:{out[(path, k)]}" for (n, k), path in sorted(dirs[d].items())]
+        out[(d, "dir")] = v.digest_of("\n".join(lines))
+    return out
+
+
+def test_trees_are_compared_from_the_root(spark):
+    from lodestone.operators.trees import tree_changes, tree_nodes
+
+    r = random.Random(8)
+    before = {"/".join(r.choice("abc") for _ in range(r.randint(1, 5))) + f"/{i}": f"d{i}" for i in range(120)} | {"top": "x", "swap": "y"}
+    after = {p: d for p, d in before.items() if p != "swap"} | {"swap/in": "z", "new/dir/f": "n"}
+    gone, edited = r.sample(sorted(after), 2)
+    after.pop(gone)
+    after[edited] = "edited"
+    frame = lambda files: spark.createDataFrame([*files.items(), (None, "x"), ("null", None)], "path string, digest string").repartition(3)
+    a, b = tree_nodes(frame(before)), tree_nodes(frame(after))
+    for found, files in ((a, before), (b, after)):
+        assert {(x.path, x.kind): x.digest for x in found.collect()} == _plain_nodes(files)
+    old, new = _plain_nodes(before), _plain_nodes(after)
+    want = {(p, k, "added" if (p, k) not in old else "removed" if (p, k) not in new else "changed") for p, k in {*old, *new} if old.get((p, k)) != new.get((p, k))}
+    rows = tree_changes(a, b).collect()
+    assert {(x.path, x.kind, x.change) for x in rows} == want and len(rows) == len(want)
+    assert 0 < sum({x.depth: x.compared for x in rows}.values()) < len(old)
+    assert tree_changes(a, a).collect() == [] and tree_changes(tree_nodes(frame({})), tree_nodes(frame({}))).collect() == []
+    assert {(x.path, x.change) for x in tree_changes(tree_nodes(frame({})), tree_nodes(frame({"a/b": "1"}))).collect()} == {("", "added"), ("a", "added"), ("a/b", "added")}
