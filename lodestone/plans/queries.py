@@ -535,3 +535,31 @@ def changed_paths(t: Tables) -> DataFrame:
     files = t.documents.select("doc_id", "source", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("digest"))
     edited = F.when(F.col("source").endswith("3") & (F.col("doc_id") % 29 == 0), F.lit("x")).otherwise(F.col("digest"))
     return tree_changes(tree_nodes(files.where("doc_id % 103 <> 5")), tree_nodes(files.where("doc_id % 101 <> 7").withColumn("digest", edited)))
+
+
+@query("""select 'run' run_id, 'native-results run' as name, '[' || string_agg('"' || f || '"', ',' order by f) || ']' datasets, 'completed' status, '{"engine":"dag-ml","schema_version":3}' config from (select distinct l_returnflag f from lineitem)""")
+def native_runs(t: Tables) -> DataFrame:
+    return _native(t).tables["runs"].select("run_id", "name", "datasets", "status", "config")
+
+
+@query(f"""select 'p-' || o_orderkey prediction_id, 'p-' || o_orderkey pipeline_id, 'chain-' || sha256('["r-' || o_custkey || '","p-' || o_orderkey || '","M","m"]')[1:24] chain_id, o_orderstatus "partition", o_totalprice val_score, 2::bigint n_samples,
+  '{{}}' scores, 'loose-predictions' prediction_scope from orders where {_LOOSE} is null""")
+def loose_predictions(t: Tables) -> DataFrame:
+    found = lowering.lower_loose(lowering.loose_rows(_loose_files(t)), "now").tables["predictions"]
+    return found.select("prediction_id", "pipeline_id", "chain_id", "partition", "val_score", "n_samples", "scores", "prediction_scope")
+
+
+@query("select doc_id, 'sha256:' || sha256(text) digest from documents")
+def digest_prefixes(t: Tables) -> DataFrame:
+    """Digests of which every second has its prefix already."""
+    bare = F.sha2("text", 256)
+    return t.documents.select("doc_id", v.prefixed(F.when(F.col("doc_id") % 2 == 0, v.digest(F.col("text"))).otherwise(bare)).alias("digest"))
+
+
+@query("""select event_id, case event_id % 6 when 0 then value when 1 then event_id::double when 2 then (event_id % 4 = 2)::int::double when 3 then 'nan'::double when 4 then '-inf'::double end n, case when event_id % 3 > 0 then event_id % 3 end size from events""")
+def scalar_casts(t: Tables) -> DataFrame:
+    """Texts of numbers, Booleans, words for what is not finite, and others; lists that may be empty."""
+    n = F.col("event_id")
+    text = F.get(F.array(F.col("value").cast("string"), F.concat(F.lit(" "), n.cast("string")), F.when(n % 4 == 2, "true").otherwise("false"), F.lit("NaN"), F.lit("-Infinity"), F.lit("12d")), (n % 6).cast("int"))
+    items = F.slice(F.array(n, n), F.lit(1), (n % 3).cast("int"))
+    return t.events.select("event_id", v.number(text).alias("n"), F.array_size(v.null_if_empty(items)).cast("long").alias("size"))
