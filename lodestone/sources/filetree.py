@@ -6,13 +6,19 @@ import hashlib
 import os
 import shutil
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import checkpointed
+
 BLOCK = 1 << 20
-SCHEMA = "rel_path string, kind string, size long, mtime_ns long, sha256 string"
+LISTED = "rel_path string, kind string, size long, mtime_ns long"
+SCHEMA = f"{LISTED}, sha256 string"
+#: Entries that a task hands on at once while it lists a directory.
+ENTRIES = 10_000
 
 
 def hash_file(path: str) -> str:
@@ -48,12 +54,58 @@ def listing(root: str) -> list[tuple[str, str, int, int]]:
     return sorted(found)
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
-    """The tree below root with a digest of each readable file. Files must be visible to all tasks by this path."""
-    rows = listing(root)
-    paths = spark.createDataFrame(rows, "rel_path string, kind string, size long, mtime_ns long")
-    if len(rows) > 64:
-        paths = paths.repartition(min(len(rows) // 16, spark.sparkContext.defaultParallelism * 4), "rel_path")
+def walked(spark: SparkSession, root: str) -> DataFrame:
+    """listing() as a table that tasks make: directories are opened a level at a time, and no list of files is in the driver.
+
+    A task lists whole directories and hands their entries on in batches. The levels are checkpointed.
+    """
+    if not os.path.isdir(root):
+        return spark.createDataFrame(listing(root), LISTED)
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for folder in pdf.rel_path:
+                rows = []
+                try:
+                    entries = os.scandir(os.path.join(root, folder))
+                except OSError:
+                    continue
+                with entries:
+                    for e in entries:
+                        rel = f"{folder}/{e.name}" if folder else e.name
+                        try:
+                            s, is_dir = e.stat(), e.is_dir()
+                            rows.append((rel, "dir" if is_dir else "file", -1 if is_dir else s.st_size, s.st_mtime_ns, is_dir and not e.is_symlink()))
+                        except OSError:
+                            rows.append((rel, "file", -2, 0, False))
+                        if len(rows) == ENTRIES:
+                            yield pd.DataFrame(rows, columns=columns)
+                            rows = []
+                yield pd.DataFrame(rows, columns=columns)
+
+    columns = ["rel_path", "kind", "size", "mtime_ns", "open"]
+    levels, frontier = [], spark.createDataFrame([("",)], "rel_path string")
+    while True:
+        level = checkpointed(frontier.mapInPandas(opened, f"{LISTED}, open boolean"))
+        levels.append(level.drop("open"))
+        frontier = level.where("open").select("rel_path")
+        if frontier.isEmpty():
+            return reduce(DataFrame.unionByName, levels)
+        frontier = frontier.repartition(spark.sparkContext.defaultParallelism * 4, "rel_path")
+
+
+def scan(spark: SparkSession, root: str, by_tasks: bool = False) -> DataFrame:
+    """The tree below root with a digest of each readable file. Files must be visible to all tasks by this path.
+
+    by_tasks: the tree is listed by tasks too, for trees whose listing the driver should not hold; the rows are the same.
+    """
+    if by_tasks:
+        paths = walked(spark, root).repartition(spark.sparkContext.defaultParallelism * 4, "rel_path")
+    else:
+        rows = listing(root)
+        paths = spark.createDataFrame(rows, LISTED)
+        if len(rows) > 64:
+            paths = paths.repartition(min(len(rows) // 16, spark.sparkContext.defaultParallelism * 4), "rel_path")
 
     def hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:

@@ -161,3 +161,22 @@ def test_trees_are_compared_from_the_root(spark):
     assert 0 < sum({x.depth: x.compared for x in rows}.values()) < len(old)
     assert tree_changes(a, a).collect() == [] and tree_changes(tree_nodes(frame({})), tree_nodes(frame({}))).collect() == []
     assert {(x.path, x.change) for x in tree_changes(tree_nodes(frame({})), tree_nodes(frame({"a/b": "1"}))).collect()} == {("", "added"), ("a", "added"), ("a/b", "added")}
+
+
+def test_a_tree_listed_by_tasks_equals_the_listing(spark, tmp_path, monkeypatch):
+    from lodestone.sources import filetree
+
+    r = random.Random(1)
+    for i in range(400):
+        folder = tmp_path / "t" / "/".join(r.choice(["a", "b", "ü x"]) for _ in range(r.randint(0, 4)))
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{i}.txt").write_text("x" * (i % 7))
+    (tmp_path / "t" / "empty").mkdir()
+    (tmp_path / "t" / "loop").symlink_to(tmp_path / "t")
+    (tmp_path / "t" / "gone").symlink_to(tmp_path / "nothing")
+    monkeypatch.setattr(filetree, "ENTRIES", 3)
+    root = str(tmp_path / "t")
+    assert sorted(tuple(x) for x in filetree.walked(spark, root).collect()) == filetree.listing(root)
+    assert sorted(filetree.scan(spark, root, by_tasks=True).collect()) == sorted(filetree.scan(spark, root).collect())
+    for other in (root + "/0.txt", str(tmp_path / "nothing")):
+        assert [tuple(x) for x in filetree.walked(spark, other).collect()] == filetree.listing(other)
