@@ -6,6 +6,7 @@ Both take paths or URIs of any file system that Arrow knows and that driver and
 from __future__ import annotations
 
 import json
+import sys
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -14,12 +15,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyarrow import fs
-from pyspark import TaskContext
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.pandas.types import from_arrow_type, to_arrow_schema
 
+# the source and the sink go to workers whole, so these need not be able to import this module
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Files whose footers one task reads.
 FILES_PER_TASK = 64
 FOOTERS = "file string, error string, row_group int, rows long, column string, type string, nulls long, low string, high string, bytes long"
