@@ -17,7 +17,9 @@ percent * union. Steps:
 5. Groups are joined on the prefix shingles whose groups still fall into several components: first, in ROUNDS rounds, each class
    is held against one other, by one member each; then all pairs of groups with classes of different components that sizes and
    positions allow are expanded to the members of these classes, and those pairs of members that their 256-bit parity
-   signatures do not rule out are verified on the whole sets. No link between components is missed.
+   signatures do not rule out are verified on the whole sets. A pair that shares many prefix shingles is met at few of them:
+   each shingle carries up to BEFORE shingles that stand before it in its prefix, and where two such windows share one, the
+   pair is left to that earlier shingle. The first shared shingle has none before it, so no link between components is missed.
 
 Results for special rows: null, empty and blank texts have an empty set, link with nothing and are their own component;
 a null doc_id belongs to a component but never names it (its component_id is null if it is alone); repeated rows link.
@@ -41,7 +43,9 @@ from .tables import forget, partitions, read, small, written
 
 SAMPLE = 3
 #: Rounds in which groups of one shingle are held against one of them before all pairs across components are looked at.
-ROUNDS = 3
+ROUNDS = 1
+#: Shingles before one in its prefix that tell where else a pair meets. Any number gives the same links.
+BEFORE = 8
 #: Up to so many survivors are broadcast for the join with documents; more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -256,6 +260,8 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     groups = found.groupBy("gid").agg(F.min("key").alias("leader"), F.first("n").alias("n"), F.first("lead").alias("lead"), F.first("prefix").alias("prefix"))
     groups = written(groups, "groups")
     rows = groups.select("gid", "leader", "n", "lead", F.posexplode("prefix").alias("at", "token"))
+    before = F.slice("prefix", F.greatest(F.col("at") - BEFORE, F.lit(0)) + 1, F.least("at", F.lit(BEFORE)))
+    windows = groups.select("gid", "n", "lead", "prefix", F.posexplode("prefix").alias("at", "token")).withColumn("before", before).drop("prefix")
     # stars: of a group of near copies, the one with fewest shingles of its own is the likeliest original
     anchor = rows.groupBy("token").agg(F.min(F.struct("lead", "n", "gid", "leader")).alias("to"), F.count("*").alias("groups")).where("groups > 1")
     near = rows.join(anchor, "token").where(f"gid <> to.gid and 100 * least(n, to.n) >= {percent} * greatest(n, to.n)")
@@ -279,8 +285,8 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
     for attempt in range(ROUNDS + 1):
         # the classes of a group: its members by component; most groups have one
         placed = written(members.join(comp, F.col("key") == F.col("node"), "left").select("key", "gid", F.coalesce("component", "key").alias("comp"), *marks), "placed")
-        classes = placed.groupBy("gid", "comp").agg(F.min(F.struct("key", *marks)).alias("r")).select("gid", "comp", "r.*")
-        tokens = written(rows.drop("leader").join(classes, "gid"), "tokens")
+        classes = placed.groupBy("gid", "comp").agg(F.min(F.struct("key", *marks)).alias("r"), F.count("*").alias("m")).select("gid", "comp", "m", "r.*")
+        tokens = written((rows.drop("leader") if attempt < ROUNDS else windows).join(classes, "gid"), "tokens")
         mixed = tokens.groupBy("token").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("token")
         rest = written(tokens.join(mixed, "token", "left_semi"), "open")
         if rest.isEmpty():
@@ -291,7 +297,10 @@ def links(reps: DataFrame, percent: int) -> DataFrame:
             cross = one.join(side(some, 2, columns), "token").where(fits & apart).select(pair)
         else:  # pairs of groups, expanded to their members of different components
             order = F.struct("gid1", "comp1") < F.struct("gid2", "comp2")
-            paired = one.join(side(rest, 2, columns), "token").where(fits & order).select("gid1", "comp1", "n1", "gid2", "comp2", "n2").distinct()
+            alone = F.expr("m1 > 1 or m2 > 1") | apart  # a class of one member needs no expanding to be ruled out
+            earlier = F.arrays_overlap("before1", "before2")
+            last = [*columns, "m", "before"]
+            paired = side(rest, 1, last).join(side(rest, 2, last), "token").where(fits & order & alone & ~earlier).select("gid1", "comp1", "n1", "gid2", "comp2", "n2").distinct()
             for i in (1, 2):
                 paired = paired.join(side(placed, i, ["gid", "comp", "key", *marks]), [f"gid{i}", f"comp{i}"])
             cross = paired.where(apart).select(pair)

@@ -244,6 +244,24 @@ def test_ngram_join_equals_brute_force(spark, k, percent):
     assert got == list(zip(range(len(texts)), n, label))
 
 
+@pytest.mark.parametrize("before", [0, 1, 8])
+def test_ngram_join_loses_no_link_of_pairs_left_to_earlier_shingles(spark, monkeypatch, before):
+    """Copies of one text with up to eight words changed: most pairs share shingles of their prefixes, few of them link."""
+    monkeypatch.setattr(ngram_join, "ROUNDS", 0)
+    monkeypatch.setattr(ngram_join, "BEFORE", before)
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for _ in range(120):
+        t = list(base)
+        for at in r.sample(range(150), r.choice([2, 4, 8])):
+            t[at] = f"x{r.randrange(6)}"
+        texts.append(" ".join(t))
+    got = sorted((x.doc_id, x.n_shingles, x.component_id) for x in ngram_join.join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 4, 85).collect())
+    n, label = brute_components(texts, 4, 85)
+    assert got == list(zip(range(len(texts)), n, label)) and 5 < len(set(label)) < 115
+
+
 def test_line_dedup_equals_brute_force(spark):
     r = random.Random(4)
     vocab = [f"v{i}" for i in range(200)]
