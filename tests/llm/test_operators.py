@@ -403,6 +403,32 @@ def test_substring_dedup_within_one_text_and_without_ids(spark):
     assert {x for x in rows if x[0] != 8} == {(3, 110, 180, 3, 0, 70, 70), (7, 20, 110, None, 0, 90, 90)}
 
 
+def test_substring_dedup_repeats_within_a_text_against_any_earlier_place(spark):
+    """Parts that stand apart first, then in a row, twice; and brute force over texts made of few phrases."""
+    r = random.Random(71)
+    vocab = [f"u{i}" for i in range(5000)]
+    fill = lambda n: r.choices(vocab, k=n)
+    a, b, c = fill(20), fill(20), fill(20)
+    texts = [a + fill(15) + b + fill(15) + c + fill(15) + a + b + c + fill(15) + a + b + c, ["a", "b"] * 300, fill(50) * 2, fill(49) * 2, []]
+    for _ in range(90):
+        phrases = [fill(r.choice([7, 20, 30])) for _ in range(6)]
+        texts.append([w for _ in range(r.randint(5, 25)) for w in r.choice(phrases)])
+    found = substring_dedup.passages(spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")).where("doc_id = source_id").collect()
+    covered = {i: set() for i in range(len(texts))}
+    for x in found:
+        assert x.source_end <= x.start and x.end <= len(texts[x.doc_id])
+        covered[x.doc_id].update(range(x.start, x.end))
+    assert any((x.start, x.end) == (180, 240) for x in found if x.doc_id == 0)
+    n = 0
+    for i, t in enumerate(texts):
+        first = {}
+        for p in range(len(t) - 49):
+            if p - first.setdefault(tuple(t[p : p + 50]), p) >= 50:
+                assert covered[i].issuperset(range(p, p + 50)), (i, p)
+                n += 1
+    assert n > 1000 and not covered[3]
+
+
 def test_substring_dedup_pairs_of_frequent_seeds(spark):
     """Passages of seeds that more than RARE documents have, each with another first document."""
     r = random.Random(67)
