@@ -130,32 +130,74 @@ def test_codec_decodes_tables(spark):
     assert back.where("not (text <=> was)").count() == 0 and back.count() == d.count()
 
 
-def test_lm_scores_equal_a_plain_model(spark):
-    rows = [(1, "abab abab", True), (2, "zzzz", False), (3, "ab", True), (4, "é", False)]
-    d = spark.createDataFrame(rows, "doc_id long, text string, t boolean")
-
-    def model(texts):
-        c3, c2 = Counter(), Counter()
+def test_lm_scores_equal_a_plain_model(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "FREQUENT", 6)
+    monkeypatch.setattr(lm_scoring, "BLOCK", 40)
+    r = random.Random(3)
+    rows = [(i, " ".join(r.choice(["the", "of", "é", *"abcdefghijkl"]) if r.random() < 0.6 else "the" for _ in range(r.randint(1, 30))), i % 3 == 0) for i in range(60)]
+    rows += [(100, None, True), (101, " \t", None), (102, "unmarked of the", None)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, t boolean").repartition(3)
+    more = spark.createDataFrame([(200, "the never seen of", None)], "doc_id long, text string, t boolean")
+
+    def plain(frequent, texts, factor, vocabulary):
+        of = lambda w: w if w in frequent else ""
+        pair, own, word = Counter(), Counter(), Counter()
         for t in texts:
-            b = b"\0\0" + t.encode()
-            for i in range(2, len(b)):
-                c3[b[i - 2 : i + 1]] += 1
-        for k, n in c3.items():
-            c2[k[:2]] += n
-        c1, before, follow, kinds = Counter(), Counter(), Counter(k[0] for k in c2), Counter(k[:2] for k in c3)
-        for k, n in c2.items():
-            before[k[0]] += n
-            c1[k[1]] += n
-        total, seen = sum(c1.values()), max(1, len(c1))
-        p1 = lambda c: (c1[c] + seen / 256) / (total + seen)
-        p2 = lambda a, c: (c2[bytes([a, c])] + max(1, follow[a]) * p1(c)) / (before[a] + max(1, follow[a]))
-        return lambda k: (c3[k] + max(1, kinds[k[:2]]) * p2(k[1], k[2])) / (c2[k[:2]] + max(1, kinds[k[:2]]))
-
-    target, background = model([t for _, t, ok in rows if ok]), model([t for _, t, _ in rows])
-    for x in lm_scoring.score(d, lm_scoring.train(d, "t")).collect():
-        b = b"\0\0" + x.text.encode()
-        want = [math.log(background(b[i - 2 : i + 1])) - math.log(target(b[i - 2 : i + 1])) for i in range(2, len(b))]
-        assert x.n_tokens == len(want) and x.ce_diff == pytest.approx(sum(want) / len(want), abs=1e-5)
+            w = WORD.findall(t or "")
+            for before, x in zip([None, *map(of, w)], w):
+                pair[before, of(x)] += factor
+                own[of(x)] += factor
+                word[x] += factor
+        before = Counter()
+        for (c, _), n in pair.items():
+            before[c] += n
+        rare = sum(n for x, n in word.items() if x not in frequent)
+
+        def log_p(c, x):
+            p = (own[of(x)] + lm_scoring.ADD) / (sum(own.values()) + lm_scoring.ADD * (len(frequent) + 1))
+            p = (pair[c, of(x)] + lm_scoring.CONTEXT * p) / (before[c] + lm_scoring.CONTEXT)
+            return math.log(p) + (0 if x in frequent else math.log((word[x] + lm_scoring.ADD) / (rare + lm_scoring.ADD * (len(vocabulary - frequent) + 1))))
+
+        return of, log_p
+
+    n = Counter(w for _, t, _ in rows for w in WORD.findall(t or ""))
+    frequent = {w for w, k in n.items() if k * 6 >= sum(n.values())}
+    target, other = [t for _, t, ok in rows if ok], [t for _, t, ok in rows if not ok]
+    size = [sum(len(WORD.findall(t or "")) for t in x) for x in (target, other)]
+    of, log_t = plain(frequent, target, 1.0, set(n))
+    _, log_b = plain(frequent, other, size[0] / size[1], set(n))
+    assert frequent and len(frequent) < len(n)
+    seen = 0
+    for x in lm_scoring.score(d.union(more), lm_scoring.train(d, "t")).collect():
+        w = WORD.findall(x.text or "")
+        want = [log_b(c, v) - log_t(c, v) for c, v in zip([None, *map(of, w)], w)]
+        assert x.n_tokens == len(w) and (x.ce_diff == pytest.approx(sum(want) / len(want), abs=1e-9) if w else x.ce_diff is None)
+        seen += 1
+    assert seen == len(rows) + 1
+
+
+def test_lm_without_one_side_scores_zero(spark):
+    d = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, None)], "doc_id long, text string")
+    for mark in (True, False, None):
+        got = lm_scoring.score(d, lm_scoring.train(d.withColumn("t", F.lit(mark).cast("boolean")), "t")).collect()
+        assert {r.doc_id: r.ce_diff for r in got} == {1: 0.0, 2: 0.0, 3: None}
+
+
+def test_lm_target_of_repeated_and_null_labels(spark):
+    d = spark.createDataFrame([(1,), (2,), (3,), (None,), (1,)], "doc_id long")
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (2, 1, 0), (2, 0, 0), (3, None, 0), (None, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    assert sorted((str(r.doc_id), r.is_target) for r in lm_scoring.with_target(d, labels).collect()) == [("1", True), ("1", True), ("2", False), ("3", False), ("None", False)]
+
+
+def test_lm_separates_labels_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = lm_scoring.train(lm_scoring.with_target(docs, labels.where("doc_id % 2 = 0")), "is_target")
+    rows = lm_scoring.score(docs, model).join(labels, "doc_id").where("doc_id % 2 = 1 and ce_diff is not null").select("ce_diff", "quality", "toxic").collect()
+    good, bad = ([r.ce_diff for r in rows if (r.quality == 1 and r.toxic == 0) == k] for k in (True, False))
+    wins = sum((b > g) + 0.5 * (b == g) for g in good for b in bad) / (len(good) * len(bad))
+    print("held-out area under the curve", wins, len(good), len(bad))
+    assert wins > 0.6
 
 
 def test_cover_tree_finds_exactly_the_pairs(spark):
