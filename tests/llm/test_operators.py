@@ -728,3 +728,38 @@ def test_components(spark):
             x, y = label.setdefault(a, a), label.setdefault(b, b)
             label = {k: min(x, y) if v in (x, y) else v for k, v in label.items()}
     assert got == label
+
+
+def _plain_mix(rows, block, weights):
+    """(doc_id, source, block, slot, position) by going through the slots one after the other, on rows of (doc_id, source)."""
+    key = lambda k: (k is None, str(k))
+    names = sorted({s for _, s in rows}, key=key)
+    queues = {k: sorted((d for d, s in rows if s == k), key=lambda d: (hashlib.md5(str(d).encode()).hexdigest(), d)) for k in names}
+    left = {k: -(-len(q) // block) for k, q in queues.items()}
+    c = mixing.whole_weights({k: weights(n) for k, n in left.items()})
+    out, taken, slot = [], dict.fromkeys(names, 0), 0
+    while any(left.values()):
+        live = [k for k in names if left[k]]
+        total, given, start = sum(c[k] for k in live), dict.fromkeys(live, 0), slot
+        while all(left[k] for k in live):
+            free = [k for k in live if given[k] * total // c[k] <= slot - start]
+            k = min(free, key=lambda k: (-(-(given[k] + 1) * total // c[k]), key(k)))
+            for i, d in enumerate(queues[k][taken[k] * block : (taken[k] + 1) * block]):
+                out.append((d, k, taken[k], slot, slot * block + i))
+            given[k], taken[k], left[k], slot = given[k] + 1, taken[k] + 1, left[k] - 1, slot + 1
+    return sorted(out, key=str)
+
+
+def test_mixing_query_equals_slot_by_slot_scheduling(spark):
+    for sf in (SF, "/root/testdata/sf0.01"):
+        rows = [(r.doc_id, r.source) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source").collect()]
+        got = sorted(((r.doc_id, r.source, r.block, r.slot, r.position) for r in mixing.query(spark, sf).collect()), key=str)
+        assert got == _plain_mix(rows, mixing.BLOCK, lambda n: n**mixing.TEMPER)
+    # blocks of two, so that periods repeat and phases change within each source, with a null source
+    r = random.Random(8)
+    rows = [(i, r.choice(["a", "a", "a", "b", "c", None])) for i in range(900)]
+    d = spark.createDataFrame(rows, "doc_id long, source string")
+    weights = {"a": 0.2, "b": 0.5, "c": 0.25, None: 0.05}
+    got = sorted(((x.doc_id, x.source, x.block, x.slot, x.position) for x in mixing.slots(d, weights, block=2)[0].collect()), key=str)
+    at = iter([weights[k] for k in sorted({s for _, s in rows}, key=lambda k: (k is None, str(k)))])
+    assert got == _plain_mix(rows, 2, lambda n: next(at))
