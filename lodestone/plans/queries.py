@@ -506,14 +506,19 @@ def migration_plans(t: Tables) -> DataFrame:
   select doc_id::varchar as name, case when doc_id % 13 = 0 then 'again' else doc_id::varchar end run_id, lang dataset, case when doc_id % 7 <> 0 then w end model, case when doc_id % 7 <> 0 then '../' || source || '_predictions.json' end file,
   case when doc_id % 4 = 0 then '' else 'snv,' || w end steps, case when doc_id % 9 = 0 then 13 + case when doc_id % 13 = 0 then 1 else 0 end end bad_line from d""")
 def manifest_tables(t: Tables) -> DataFrame:
-    """A run manifest for each document: some say a scalar twice, leave sections out, have an empty list, or a line that is refused."""
+    """A run manifest for each document: some say a scalar twice, leave sections out, have an empty list, or a line that is refused.
+
+    Comments stand where a document lacks a value; without a doc_id no remainder applies to it.
+    """
     n, word = F.col("doc_id"), F.regexp_extract("text", "[A-Za-z]+", 0)
-    some = lambda when, *lines: F.when(when, F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))).otherwise(F.lit(""))
-    full = n % 7 != 0
+    joined = lambda lines: F.concat(*(F.lit(x) if isinstance(x, str) else x for x in lines))
+    some = lambda when, *lines: F.when(when, joined(lines)).otherwise(F.lit(""))
+    said = lambda *lines: F.coalesce(joined(lines), F.lit("# none\n" * sum(x.count("\n") for x in lines if isinstance(x, str))))
+    full = F.coalesce(n % 7 != 0, F.lit(False))
     text = F.concat(
-        F.lit("# a run\n\nrun_id: '"), n.cast("string"), F.lit("'\r\n"), some(n % 13 == 0, "run_id: again\n"), F.lit("dataset:   "), F.col("lang"), F.lit("  \n"),
-        some(full, "model:\n  class: M\n  name: \"", word, "\"\npredictions:\n  file: ../", F.col("source"), "_predictions.json\n"), some(~full, "engine: a\n# none\n\n\n\n"),
-        F.lit("preprocessing:\n"), some(n % 4 != 0, "  - snv\n  - ", word, "\n"), some(n % 4 == 0, "\n\n"), some(n % 9 == 0, "    deep: 1\n"),
+        F.lit("# a run\n\n"), said("run_id: '", n.cast("string"), "'\r\n"), some(n % 13 == 0, "run_id: again\n"), said("dataset:   '", F.col("lang"), "'  \n"),
+        some(full, "model:\n  class: M\n", said("  name: \"", word, "\"\n"), "predictions:\n", said("  file: ../", F.col("source"), "_predictions.json\n")), some(~full, "engine: a\n# none\n\n\n\n"),
+        some(n % 4 == 0, "preprocessing:\n\n\n"), F.when(n % 4 == 0, "").otherwise(said("preprocessing:\n  - snv\n  - '", word, "'\n")), some(n % 9 == 0, "    deep: 1\n"),
     )
     found = run_manifests.manifests(t.documents.select(n.cast("string").alias("name"), text.alias("text")))
     return found.select("name", F.col("fields.run_id").alias("run_id"), F.col("fields.dataset").alias("dataset"), F.col("model.name").alias("model"), F.col("predictions.file").alias("file"), F.array_join("preprocessing", ",").alias("steps"), F.col("bad_line").cast("long").alias("bad_line"))
