@@ -566,5 +566,5 @@ def scalar_casts(t: Tables) -> DataFrame:
     """Texts of numbers, Booleans, words for what is not finite, and others; lists that may be empty."""
     n = F.col("event_id")
     text = F.get(F.array(F.col("value").cast("string"), F.concat(F.lit(" "), n.cast("string")), F.when(n % 4 == 2, "true").otherwise("false"), F.lit("NaN"), F.lit("-Infinity"), F.lit("12d")), (n % 6).cast("int"))
-    items = F.slice(F.array(n, n), F.lit(1), (n % 3).cast("int"))
+    items = F.slice(F.array(n, n), F.lit(1), F.greatest(n % 3, F.lit(0)).cast("int"))  # none below zero
     return t.events.select("event_id", v.number(text).alias("n"), F.array_size(v.null_if_empty(items)).cast("long").alias("size"))
