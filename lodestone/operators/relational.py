@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..checkpoints import kept
+
+#: Rows that a task sorts or groups at a time, where their number is known before.
+TASK_ROWS = 250_000
+#: Up to so many runs of rows are broadcast.
+BROADCAST_RUNS = 1 << 16
+
 
 def missing(expected: DataFrame, actual: DataFrame, on: list[str]) -> DataFrame:
     """Rows of expected without a partner."""
@@ -69,6 +76,26 @@ def occurrence(by: list[str], order: list) -> Column:
     return F.row_number().over(Window.partitionBy(*by).orderBy(*order))
 
 
+def numbered(rows: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with their number, from 1, in their group: occurrence() for groups of any size.
+
+    Rows are dealt out by ranges of (by, order), some TASK_ROWS to a task, and numbered there; what each group has in the ranges before
+    is added. No columns may begin with two underscores.
+    """
+    keys = [*by, *order]
+    dealt = rows.repartitionByRange(rows.count() // TASK_ROWS + 1, *keys).sortWithinPartitions(*keys)
+    placed = kept(dealt.withColumn("__at", F.monotonically_increasing_id())).withColumn("__part", F.shiftright("__at", 33))
+    runs = placed.groupBy(*(F.col(c).alias(f"__{i}") for i, c in enumerate(by)), F.col("__part").alias("__run")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    groups = [f"__{i}" for i in range(len(by))]
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*groups).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = kept(runs.select(*groups, "__run", (F.col("__first") - before).alias("__off")))
+    same = F.col("__part") == F.col("__run")
+    for g, c in zip(groups, by):
+        same &= F.col(c).eqNullSafe(F.col(g))
+    found = placed.join(F.broadcast(runs) if runs.count() <= BROADCAST_RUNS else runs, same)
+    return found.select(*rows.columns, (F.col("__at") - F.col("__off") + 1).alias(name))
+
+
 def project_onto(source: DataFrame, schema: object, defaults: dict[str, Column]) -> DataFrame:
     """source in the columns of a schema: those it has, nulls included, and defaults or nulls for the rest."""
     have = set(source.columns)

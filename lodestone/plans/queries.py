@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -347,16 +347,17 @@ def loose_runs(t: Tables) -> DataFrame:
     return lowering.lower_loose(lowering.loose_rows(_loose_files(t)), "now").tables["runs"].select("run_id", "name", "status")
 
 
-def _native(t: Tables) -> lowering.Lowered:
-    """Native results of the line items: a dataset for each flag, a configuration for each line number."""
+def _native(t: Tables, with_numbers: bool = True) -> lowering.Lowered:
+    """Native results of the line items: a dataset for each flag, a configuration for each line number; runs and records need no row numbers."""
     numbers, reals = F.array().cast("array<bigint>"), F.array().cast("array<double>")
     text = {"dataset": F.col("l_returnflag"), "config_name": F.concat(F.lit("c"), F.col("l_linenumber").cast("string")), "model_name": F.lit("m"), "partition": F.col("l_linestatus"), "fold_id": F.col("l_orderkey").cast("string"), "refit_context": F.lit("")}
     columns = text | {
         "sample_indices": F.array("l_partkey", "l_suppkey"), "y_true": F.array("l_quantity", "l_tax"), "y_pred": F.array("l_quantity", "l_discount"), "y_proba": reals, "weights": reals, "y_proba_shape": numbers,
         "y_true_shape": F.when(F.col("l_linenumber") == 7, F.array(F.lit(2), F.lit(1))).otherwise(F.array(F.lit(2))), "y_pred_shape": F.array(F.lit(2)), "arrays_present": F.col("l_linenumber") != 6, "val_score": F.col("l_extendedprice"),
     }
-    order = Window.partitionBy("l_linenumber").orderBy("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate")
-    rows = t.lineitem.withColumn("_row", F.row_number().over(order) * 10 + F.col("l_linenumber"))
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate"]
+    rows = rel.numbered(t.lineitem, ["l_linenumber"], order, "number") if with_numbers else t.lineitem.withColumn("number", F.lit(0).cast("long"))
+    rows = rows.withColumn("_row", F.col("number") * 10 + F.col("l_linenumber"))
     rows = rows.select("_row", *(columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in NATIVE))
     return lowering.lower_native(rows, {"run_id": "run", "engine": ENGINE, "schema_version": 3, "metric": "rmse", "task_type": ["regression"], "score_set_hash": "0"}, "now")
 
@@ -377,7 +378,7 @@ def native_pipelines(t: Tables) -> DataFrame:
 
 @query("select case when l_linenumber = 7 then 'rank_above_one' end violation, l_returnflag dataset_name, count(*) n, sum(case when l_linenumber = 7 then 0 else 2 end)::bigint n_indices from lineitem where l_linenumber <> 6 group by 1, 2")
 def native_records(t: Tables) -> DataFrame:
-    records = _native(t).records
+    records = _native(t, with_numbers=False).records
     return records.groupBy("violation", "dataset_name").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.array_size("sample_indices"), F.lit(0))).cast("long").alias("n_indices"))
 
 
@@ -544,7 +545,7 @@ def changed_paths(t: Tables) -> DataFrame:
 
 @query("""select 'run' run_id, 'native-results run' as name, '[' || string_agg('"' || f || '"', ',' order by f) || ']' datasets, 'completed' status, '{"engine":"dag-ml","schema_version":3}' config from (select distinct l_returnflag f from lineitem)""")
 def native_runs(t: Tables) -> DataFrame:
-    return _native(t).tables["runs"].select("run_id", "name", "datasets", "status", "config")
+    return _native(t, with_numbers=False).tables["runs"].select("run_id", "name", "datasets", "status", "config")
 
 
 @query(f"""select 'p-' || o_orderkey prediction_id, 'p-' || o_orderkey pipeline_id, 'chain-' || sha256('["r-' || o_custkey || '","p-' || o_orderkey || '","M","m"]')[1:24] chain_id, o_orderstatus "partition", o_totalprice val_score, 2::bigint n_samples,
