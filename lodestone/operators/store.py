@@ -19,7 +19,7 @@ from ..functions import values as v
 from ..schemas import FOREIGN_KEYS, NATURAL_KEY, REQUIRED, SIDECAR, SUMMARY, TABLES, USER_VERSION
 from ..sources.filetree import hash_file
 from ..sources.parquet_store import BROKEN, footers, write_checked
-from .relational import key_violations, orphan_references, with_children
+from .relational import TASK_ROWS, key_violations, orphan_references, with_children
 
 STORE, ARRAYS, PRESERVED = "store", "arrays", "preserved"
 
@@ -123,15 +123,26 @@ def chain_summary(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """(rule, n): rows that break a null, key or reference rule of the store."""
+    """(rule, n): rows that break a null, key or reference rule of the store.
+
+    Rows are counted first, so the tables are such as are cheap to read; those of more than TASK_ROWS are dealt out by their keys to more
+    tasks the more rows there are, so what a task sorts or groups does not grow.
+    """
+    tasks = {t: n // TASK_ROWS + 1 for t, n in counts(tables).items()}
+    dealt = lambda t, most, *by: tables[t].select(*by).repartition(most, *by) if most > 1 else tables[t]
     rules = []
     for t, df in tables.items():
         key = df.columns[0]
         rules.append((f"{t}: null in {', '.join(REQUIRED[t])}", df.where(" or ".join(f"`{c}` is null" for c in REQUIRED[t]))))
-        rules.append((f"{t}: repeated {key}", key_violations(df, [key])))
-    rules.append(("predictions: repeated natural key", key_violations(tables["predictions"], NATURAL_KEY)))
-    rules += [(f"{child}: no {parent} of its {c}", orphan_references(tables[child], c, tables[parent], tables[parent].columns[0])) for child, c, parent in FOREIGN_KEYS]
-    return reduce(DataFrame.union, (df.agg(F.count("*").alias("n")).select(F.lit(r).alias("rule"), "n") for r, df in rules)).where("n > 0")
+        rules.append((f"{t}: repeated {key}", key_violations(dealt(t, tasks[t], key), [key])))
+    rules.append(("predictions: repeated natural key", key_violations(dealt("predictions", tasks["predictions"], *NATURAL_KEY), NATURAL_KEY)))
+    for child, c, parent in FOREIGN_KEYS:
+        most, key = max(tasks[child], tasks[parent]), tables[parent].columns[0]
+        # references are counted before they meet the parents: those to one parent are one row
+        named = dealt(child, most, c).groupBy(c).agg(F.count("*").alias("n"))
+        rules.append((f"{child}: no {parent} of its {c}", orphan_references(named, c, dealt(parent, most, key), key)))
+    of = {r: F.coalesce(F.sum("n"), F.lit(0)) if ": no " in r else F.count("*") for r, _ in rules}
+    return reduce(DataFrame.union, (df.agg(of[r].alias("n")).select(F.lit(r).alias("rule"), "n") for r, df in rules)).where("n > 0")
 
 
 def record_digests(records: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..checkpoints import kept
 from ..functions import values as v
 from ..operators import lowering, run_manifests, store, verify
 from ..operators import relational as rel
@@ -387,7 +388,9 @@ def _store(t: Tables) -> dict[str, DataFrame]:
     runs = t.customer.where("c_acctbal >= 0").select(F.concat(F.lit("r"), F.col("c_custkey").cast("string")).alias("run_id"), F.col("c_name").alias("name"))
     pipelines = t.orders.select(F.concat(F.lit("p"), F.col("o_orderkey").cast("string")).alias("pipeline_id"), F.concat(F.lit("r"), F.col("o_custkey").cast("string")).alias("run_id"), F.lit("x").alias("name"), F.col("o_orderpriority").alias("dataset_name"), F.col("o_orderstatus").alias("status"))
     chains = t.lineitem.select(F.concat_ws("-", F.lit("c"), "l_orderkey", "l_linenumber").alias("chain_id"), F.concat(F.lit("p"), F.col("l_orderkey").cast("string")).alias("pipeline_id"), F.lit("[]").alias("steps"), F.col("l_linenumber").alias("model_step_idx"), F.col("l_shipmode" if "l_shipmode" in t.lineitem.columns else "l_returnflag").alias("model_class"))
-    made = {"runs": runs, "pipelines": pipelines, "chains": chains.dropDuplicates(["chain_id"])}
+    # written, as each rule reads it again
+    chains = kept(chains.repartition(t.lineitem.count() // rel.TASK_ROWS + 1, "chain_id").dropDuplicates(["chain_id"]))
+    made = {"runs": runs, "pipelines": pipelines, "chains": chains}
     spark = t.spark
     return {name: rel.project_onto(made[name], schema, lowering.default_columns(name, "now")) if name in made else spark.createDataFrame([], schema) for name, schema in TABLES_OF_STORE.items()}
 
