@@ -294,7 +294,13 @@ def lower_native(rows: DataFrame, manifest: dict[str, Any], now: str) -> Lowered
     replay = manifest.get("stacking_replay")
     replay = v.canonical(replay, False) if isinstance(replay, dict) else None
     lit = lambda x, k="string": F.lit(x).cast(k)
-    first = lambda key, **cols: named.groupBy(key).agg(F.min_by(F.struct(*(c.alias(n) for n, c in cols.items())), "_row").alias("x")).select(key, "x.*")
+
+    def first(key: str, **cols: Column) -> DataFrame:
+        """Columns of each key's first row. The rows' numbers are grouped alone, which takes no sort; few rows are then left."""
+        least = named.groupBy(key).agg(F.min("_row").alias("_row"))
+        few = named.join(least, [key, "_row"], "left_semi")
+        return few.groupBy(key).agg(F.min_by(F.struct(*(c.alias(n) for n, c in cols.items())), "_row").alias("x")).select(key, "x.*")
+
     config = F.concat(F.lit('{"config_name":'), F.expr("substring(to_json(array(c)), 2, char_length(to_json(array(c))) - 2)"), F.lit(',"variant_id":'), F.expr("substring(to_json(array(vi)), 2, char_length(to_json(array(vi))) - 2)"), F.lit("}"))
     pipelines = first("pipeline_id", run_id=run, name=F.col("c"), expanded_config=config, generator_choices=F.lit("[]"), dataset_name=F.col("d"), status=F.lit("completed"), created_at=lit(created), completed_at=lit(created), best_val=F.col("val_score"), best_test=F.col("test_score"), metric=F.col("me"))
     fingerprint = F.sha2(lit(replay), 256)
