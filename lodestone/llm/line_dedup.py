@@ -68,9 +68,10 @@ def _sets(docs: DataFrame, key: list[str]) -> DataFrame:
     classes = _rarity(docs)
     low = F.lit((1 << 56) - 1)
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(classes, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")).cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
+    def token(h: Column) -> Column:
+        # never null, which lets the arrays be sorted as primitive ones
+        rarity = F.coalesce(F.get(classes, h.bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).cast("int")), F.lit(0).cast("tinyint"))
+        return F.shiftleft(rarity.cast("long"), 56).bitwiseOR(h.bitwiseAND(low))
 
     def parities(keys: Column, bit: int | None = None) -> Column:
         """64 parities of the tokens by six bits of their hashes; bit: one that must be set for a token to count."""
@@ -82,7 +83,8 @@ def _sets(docs: DataFrame, key: list[str]) -> DataFrame:
         return F.aggregate(keys, F.lit(0).cast("long"), step)
 
     # a generator between the two steps: otherwise the planner would make the keys anew for each use
-    keys = F.sort_array(F.array_distinct(F.transform(_words(F.col("s")), token)))
+    # words are hashed once, a hash is used twice
+    keys = F.sort_array(F.array_distinct(F.transform(F.transform(_words(F.col("s")), lambda w: F.xxhash64(w)), token)))
     lines = _lines(docs, key).select(*key, "line", F.explode(F.array(keys)).alias("keys"))
     n = F.size("keys")
     # of a prefix token half the hash goes on: few tokens then are taken for others, and verification tells
